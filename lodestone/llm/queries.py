@@ -82,21 +82,21 @@ ORACLES = {
             FROM body
         ), before AS (
             SELECT page_id, page_id >> 12 AS segment, octet_length(data) AS length, sha256(data) AS digest,
-                coalesce(sum(octet_length(data)) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+                coalesce(sum(octet_length(data)) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS put
             FROM rec
         )
         SELECT page_id,
             CASE WHEN page_id % 97 = 13 OR page_id % 101 = 29 THEN 'corrupt' ELSE 'missing' END AS status,
-            CAST(segment AS BIGINT) AS segment, CAST(0 AS INTEGER) AS part, CAST(at AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, digest
+            CAST(segment AS BIGINT) AS segment, CAST(0 AS INTEGER) AS part, CAST(put AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, digest
         FROM before WHERE page_id % 97 = 13 OR page_id % 101 = 29 OR page_id % 103 = 41
     """,
     "op2_substring": r"""
         WITH docs AS (
             SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
-        ), at AS (
+        ), pos AS (
             SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM docs WHERE len(words) >= 50
         ), win AS (
-            SELECT doc_id, i, md5_number(array_to_string(words[i:i + 49], ' ')) AS h FROM at
+            SELECT doc_id, i, md5_number(array_to_string(words[i:i + 49], ' ')) AS h FROM pos
         ), hit AS (
             SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM win) WHERE least < doc_id
         ), gone AS (
