@@ -147,16 +147,18 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds=ROUNDS) -> DataFrame:
     found = base.written(
         base.mapped(marked, _stretch_kernel(window, rounds), "key long, c1 long, c2 long, doc_id long, mark long, start int, n int"), "stretches"
     )
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    # what is joined to rows that may hold a hot key is a table, not an aggregate, so that Spark can split the hot partition
+    shared = base.written(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "keys")
     near = base.written(found.join(shared, "key"), "shared")
     base.dropped(spark, found)
     least = near.groupBy("key", "c1", "c2").agg(F.min("doc_id").alias("least"))
     forms = least.groupBy("key").agg(F.count("*").alias("forms"))
-    judged = base.written(near.join(least.join(forms, "key"), ["key", "c1", "c2"]).where("doc_id > least or forms > 1").select("doc_id", "mark", "start", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
+    least = base.written(least.join(forms, "key"), "least")
+    judged = base.written(near.join(least, ["key", "c1", "c2"]).where("doc_id > least or forms > 1").select("doc_id", "mark", "start", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
     base.dropped(spark, near)
     parts = judged.where("not whole").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
     single = base.written(base.mapped(marked.join(parts.hint("shuffle_hash"), ["doc_id", "mark"]), _window_kernel(window), "w1 long, w2 long, doc_id long, mark long, start int"), "windows")
-    first = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    first = base.written(single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "first")
     later = single.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "mark", "start", F.lit(1).alias("n"))
     cover = judged.where("whole").select("doc_id", "mark", "start", "n").unionByName(later)
     return cover.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end"))).alias("spans"))
