@@ -1,4 +1,5 @@
 """Every query by name, and its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
