@@ -514,7 +514,7 @@ def contact_fields(spark, sf_dir):
 
 
 @query(r"""
-    WITH s AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(year(o_orderdate) + o_orderkey % 3 AS INTEGER) AS b FROM orders),
+    WITH s AS (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(year(o_orderdate) + o_orderkey % 3 AS INTEGER) AS b FROM orders),
     far AS (SELECT *, max(b) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
     isle AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM far)
     SELECT o_custkey, min(a) AS a, max(b) AS b FROM isle GROUP BY o_custkey, isle
@@ -533,8 +533,8 @@ def span_years(spark, sf_dir):
 
 @query(f"""
     WITH {PROFILES}, s AS (
-        SELECT id, 1995 + id % 10 AS a, 1998 + id % 13 AS b FROM profile UNION ALL SELECT id, 2005 + id % 8, CASE WHEN id % 2 = 0 THEN 2024 ELSE 2015 END FROM profile
-        UNION ALL SELECT id, 2010, 2014 FROM profile WHERE id % 3 = 2
+        SELECT id, 1995 + id % 10 AS a, 1998 + id % 13 AS b FROM profile UNION SELECT id, 2005 + id % 8, CASE WHEN id % 2 = 0 THEN 2024 ELSE 2015 END FROM profile
+        UNION SELECT id, 2010, 2014 FROM profile WHERE id % 3 = 2
     ),
     far AS (SELECT *, max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s WHERE a <= b),
     isle AS (SELECT *, sum(CASE WHEN far IS NULL OR a > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM far),
