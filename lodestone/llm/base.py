@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +54,29 @@ def columns_only(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select([F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()])
 
 
-def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema) -> DataFrame:
+    """``df`` through a kernel on Arrow batches, which it gets in small slices: what it makes of one is freed before the next."""
+
+    def run(batches):
+        yield from kernel(slices(batches))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes; a larger row is a slice of its own."""
+    for batch in batches:
+        size = np.full(batch.num_rows, limit / rows)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def byte_rows(batch: pa.RecordBatch, column: str) -> list[bytes | None]:

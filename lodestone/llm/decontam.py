@@ -204,5 +204,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
         return kernel
 
     for shared in blocks(benchmark, block_mb):
-        docs = docs.mapInArrow(kernel_of(shared), docs.schema)
+        docs = base.mapped(docs, kernel_of(shared), docs.schema)
     return docs

@@ -8,13 +8,15 @@ memo. Whether a tokenizer is of this kind is read from its file; others encode w
 from __future__ import annotations
 
 import json
+import re
 import string
+import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Words kept per process; when full it starts anew, and common words are back at once.
-MEMO = 1 << 20
+MEMO = 1 << 19
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -25,41 +27,77 @@ def _by_words(spec: dict) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and spec.get("truncation") is None
 
 
-class _Memo(dict):
-    """word -> its ids as little-endian unsigned 32-bit integers."""
+_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
-    def __init__(self, tokenizer: Tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(string.punctuation.encode())
-        text = core.decode()
-        if text.isalpha() and (len(core) < len(word) or (text.isascii() and not text.islower())):
-            # letters and punctuation are split in any case, and ASCII letters lower alike everywhere
-            ids = self[core.lower() if text.isascii() else core] + (self[word[len(core) :]] if len(core) < len(word) else b"")
-        else:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = ids
-        return ids
+def _plain(row: bytes) -> bytes:
+    """The text in fewer distinct words and with the same ids: ASCII letters lowered, single stops split from letters. Special tokens' strings are left alone."""
+    return row if b"<|" in row else _STOP.sub(rb" \1", row.lower())
+
+
+_PUNCTUATION = string.punctuation.encode()
 
 
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.memo = _Memo(self.tokenizer) if _by_words(json.load(file)) else None
+            spec = json.load(file)
+        self.by_words = _by_words(spec)
+        self.memo: dict[bytes, bytes] = {}  # word -> its ids as little-endian unsigned 32-bit integers
+        suffix = (spec["model"].get("end_of_word_suffix") or "") if self.by_words else ""
+        self.ends = np.array([bool(suffix) and self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Remembers words of nothing but letters: together they are one text, where each ends with its first token that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words):  # not a tokenizer that marks the ends of words
+            self.memo.update((w, self._whole(w.decode())) for w in words)
+            return
+        data, stops = ids.tobytes(), stops.tolist()
+        self.memo.update((w, data[a:z]) for w, a, z in zip(words, [0, *stops], stops, strict=False))
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remembers words. Letters and the ASCII punctuation behind them are split in any case; ASCII letters lower alike everywhere."""
+        memo, parts, cores = self.memo, [], set()
+        for word in words:
+            core = word.rstrip(_PUNCTUATION)
+            text = core.decode()
+            if text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha()):
+                core = core.lower() if text.isascii() else core
+                if core != word:
+                    parts.append((word, core, word[len(core) :]))
+                if core not in memo:
+                    cores.add(core)
+            else:
+                memo[word] = self._whole(word.decode())
+        if cores:
+            self._letters(list(cores))
+        for word, core, tail in parts:
+            if tail and tail not in memo:
+                memo[tail] = self._whole(tail.decode())
+            memo[word] = memo[core] + memo[tail] if tail else memo[core]
+
+    def many(self, rows: list[bytes | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [self._whole(r.decode()) if r else b"" for r in rows]
+        split = [_plain(r).split() if r else [] for r in rows]
+        words = set().union(*split)
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        new = words.difference(self.memo)
+        if new:
+            self._learn(new)
+        get = self.memo.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
     def ids(self, row: bytes | None) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        if not row:
-            return b""
-        if self.memo is None:
-            return np.array(self.tokenizer.encode(row.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        get = self.memo.__getitem__
-        return b"".join(map(get, row.split()))
+        return self.many([row])[0]
 
 
 def encoder(path: str) -> Encoder:

@@ -168,4 +168,4 @@ def confident(docs: DataFrame, model: Model, least: float = 0.4, penalty: float
                 stays += [x != NONE and s >= least for x, s in zip(lang, score.tolist(), strict=True)]
             yield batch.filter(pa.array(stays, pa.bool_()))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return base.mapped(docs, kernel, docs.schema)

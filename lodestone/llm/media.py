@@ -224,7 +224,7 @@ def describe(df: DataFrame, column: str = "media") -> DataFrame:
 
     kind = "array<struct<codec:string,handler:string,duration_s:double,samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>"
     base_schema = df.select(rest).schema
-    return df.select(*rest, column).mapInArrow(kernel, base_schema.add("tracks", kind).add("error", "string"))
+    return base.mapped(df.select(*rest, column), kernel, base_schema.add("tracks", kind).add("error", "string"))
 
 
 def store(docs: DataFrame) -> DataFrame:

@@ -148,13 +148,15 @@ def _pack_kernel(path: str, end: int, capacity: int, hold: int, slack: int):
         enc = encoder(path)
         sequence, docs, total = pyspark.TaskContext.get().partitionId() << 40, [], 0
         for batch in batches:
-            for doc, row in zip(batch.column("doc_id").to_pylist(), base.byte_rows(batch, "text"), strict=True):
-                docs.append((doc, enc.ids(row) + stop))
-                total += len(docs[-1][1]) // 4
-                if total >= hold:
-                    out, sequence = packed(docs, sequence)
-                    yield out
-                    docs, total = [], 0
+            rows, names = base.byte_rows(batch, "text"), batch.column("doc_id").to_pylist()
+            for a, b in base.chunks(rows):
+                for doc, ids in zip(names[a:b], enc.many(rows[a:b]), strict=True):
+                    docs.append((doc, ids + stop))
+                    total += len(ids) // 4 + 1
+                    if total >= hold:
+                        out, sequence = packed(docs, sequence)
+                        yield out
+                        docs, total = [], 0
         if docs:
             yield packed(docs, sequence)[0]
 
