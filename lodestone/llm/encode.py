@@ -1,23 +1,29 @@
-"""Token ids of whole texts by a public tokenizer file, with a bounded memo of words.
+"""Token ids of whole texts by a public tokenizer file, with a bounded cache of words.
 
 For a tokenizer that drops white space and never joins tokens across it, the ids of a text are those of its words
-(runs without 0x20, 0x09-0x0D) one after another, so each distinct word goes through the library once while it is in the
-memo. Whether a tokenizer is of this kind is read from its file; others encode whole texts.
+(runs without 0x20, 0x09-0x0D) one after another. So a slice of texts is cut into words, equal words are found by sorting
+their 64-bit hashes, and only words that aren't in the cache go through the library, in one call for all of them. The cache is
+a direct-mapped table: a word takes the place of another with the same low bits. Whether a tokenizer is of this kind is
+read from its file; others encode whole texts.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import string
-import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept per process; when full it starts anew, and common words are back at once.
-MEMO = 1 << 19
+from . import base
+
+#: Places for words, and ids that they may have together, per process.
+SLOTS, POOL = 1 << 21, 1 << 23
 _LOADED: dict[str, "Encoder"] = {}
+_PUNCTUATION = string.punctuation.encode()
+_KIND = np.full(256, 2, np.int8)  # 0: a letter a-z, 1: ASCII punctuation, 2: anything else
+_KIND[list(string.ascii_lowercase.encode())] = 0
+_KIND[list(_PUNCTUATION)] = 1
 
 
 def _by_words(spec: dict) -> bool:
@@ -27,74 +33,98 @@ def _by_words(spec: dict) -> bool:
     return kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and splits[0]["invert"] and splits[0]["behavior"] == "Removed" and spec.get("truncation") is None
 
 
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
-
-
-def _plain(row: bytes) -> bytes:
-    """The text in fewer distinct words and with the same ids: ASCII letters lowered, single stops split from letters. Special tokens' strings are left alone."""
-    return row if b"<|" in row else _STOP.sub(rb" \1", row.lower())
-
-
-_PUNCTUATION = string.punctuation.encode()
-
-
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS, pool: int = POOL):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.by_words = _by_words(spec)
-        self.memo: dict[bytes, bytes] = {}  # word -> its ids as little-endian unsigned 32-bit integers
         suffix = (spec["model"].get("end_of_word_suffix") or "") if self.by_words else ""
         self.ends = np.array([bool(suffix) and self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _letters(self, words: list[bytes]) -> None:
-        """Remembers words of nothing but letters: together they are one text, where each ends with its first token that ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(words):  # not a tokenizer that marks the ends of words
-            self.memo.update((w, self._whole(w.decode())) for w in words)
-            return
-        data, stops = ids.tobytes(), stops.tolist()
-        self.memo.update((w, data[a:z]) for w, a, z in zip(words, [0, *stops], stops, strict=False))
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Remembers words. Letters and the ASCII punctuation behind them are split in any case; ASCII letters lower alike everywhere."""
-        memo, parts, cores = self.memo, [], set()
-        for word in words:
-            core = word.rstrip(_PUNCTUATION)
-            text = core.decode()
-            if text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha()):
-                core = core.lower() if text.isascii() else core
-                if core != word:
-                    parts.append((word, core, word[len(core) :]))
-                if core not in memo:
-                    cores.add(core)
-            else:
-                memo[word] = self._whole(word.decode())
-        if cores:
-            self._letters(list(cores))
-        for word, core, tail in parts:
-            if tail and tail not in memo:
-                memo[tail] = self._whole(tail.decode())
-            memo[word] = memo[core] + memo[tail] if tail else memo[core]
+        self.key, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.pool, self.used = np.zeros(pool, np.uint32), 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _parts(self, words: list[bytes], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of each word the number of pieces that the tokenizer cuts it into, where that is plain to see, else 0.
+
+        Letters are a piece, and so is the run of ASCII punctuation behind them or by itself.
+        """
+        first = _KIND[buf[starts]]
+        kind = _KIND[buf[base.ranges(starts, ends - starts)]]
+        begins = np.cumsum(ends - starts) - (ends - starts)
+        other = np.add.reduceat(kind == 2, begins) > 0
+        turn = np.append(False, kind[1:] != kind[:-1])
+        turn[begins] = False
+        turns = np.add.reduceat(turn, begins)
+        parts = np.where(~other & ((turns == 0) | ((turns == 1) & (first == 0))), turns + 1, 0)
+        for k in np.flatnonzero(other).tolist():
+            core = words[k].rstrip(_PUNCTUATION)
+            if core.decode().isalpha():
+                parts[k] = 1 + (len(core) < len(words[k]))
+        return parts
+
+    def _learned(self, words: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has. A piece ends with its first token that ends a word."""
+        plain = np.flatnonzero(parts)
+        text = b" ".join([words[k] for k in plain.tolist()]).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if text else np.zeros(0, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != parts.sum():  # not all were letters to the tokenizer, or it doesn't mark the ends of words
+            each = [self._whole(w.decode()) for w in words]
+            return np.concatenate(each), np.array([len(x) for x in each])
+        last = stops[np.cumsum(parts[plain]) - 1] if len(plain) else np.zeros(0, np.int64)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.diff(last, prepend=0)
+        rest = np.flatnonzero(parts == 0)
+        if not len(rest):
+            return ids, sizes
+        each = {k: self._whole(words[k].decode()) for k in rest.tolist()}
+        sizes[rest] = [len(each[k]) for k in rest.tolist()]
+        out, ends = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes)
+        out[base.ranges(ends[plain] - sizes[plain], sizes[plain])] = ids
+        for k, x in each.items():
+            out[ends[k] - len(x) : ends[k]] = x
+        return out, sizes
+
+    def _slice(self, rows: list[bytes | None]) -> list[bytes]:
+        # ASCII letters lower alike everywhere; special tokens' strings are left alone
+        rows = [r if not r or b"<|" in r else r.lower() for r in rows]
+        buf, s, e, first = base.word_spans(rows)
+        if not len(s):
+            return [b""] * len(rows)
+        word, example, of = np.unique(base.word_hashes(buf, s, e), return_index=True, return_inverse=True)
+        if self.used + 2 * len(buf) > len(self.pool):
+            self.key[:], self.used = 0, 0
+        slot = (word & np.uint64(len(self.key) - 1)).astype(np.int64)
+        new = np.flatnonzero(self.key[slot] != word)
+        at, size = self.at[slot], self.size[slot]
+        if len(new):
+            a, z = s[example[new]], e[example[new]]
+            data = memoryview(buf)
+            words = [bytes(data[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+            ids, sizes = self._learned(words, self._parts(words, buf, a, z))
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(ids) + POOL, np.uint32)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            at[new], size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used += len(ids)
+            self.key[slot[new]], self.at[slot[new]], self.size[slot[new]] = word[new], at[new], size[new]
+        n = size[of].astype(np.int64)
+        ids = self.pool[base.ranges(at[of].astype(np.int64), n)].astype("<u4").tobytes()
+        cut = (4 * np.append(0, np.cumsum(n))[first]).tolist()
+        return [ids[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
 
     def many(self, rows: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if not self.by_words:
-            return [self._whole(r.decode()) if r else b"" for r in rows]
-        split = [_plain(r).split() if r else [] for r in rows]
-        words = set().union(*split)
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        new = words.difference(self.memo)
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            return [self._whole(r.decode()).astype("<u4").tobytes() if r else b"" for r in rows]
+        out: list[bytes] = []
+        for a, b in base.chunks(rows):
+            out += self._slice(rows[a:b])
+        return out
 
     def ids(self, row: bytes | None) -> bytes:
         return self.many([row])[0]

@@ -48,55 +48,72 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int = MOST, reach: int = REACH) -> list[int]:
-    """Where chunks end. ``average`` is a power of two."""
-    n, ends, at = len(ids), [], 0
-    if n > reach:
-        i = np.arange(n - reach)
-        rolled = base.Sequence(ids.astype(_U) + _U(1)).span(i, i + reach)
-        marks = (np.flatnonzero((rolled & _U(average - 1)) == 0) + reach).tolist()
-    else:
-        marks = []
-    for mark in [*marks, n]:
-        while mark - at > most:
+def marks(ids: np.ndarray, average: int = AVERAGE, reach: int = REACH) -> np.ndarray:
+    """Places where the rolling hash of the ``reach`` ids before has its low bits clear; ``average`` is a power of two."""
+    if len(ids) <= reach:
+        return np.zeros(0, np.int64)
+    i = np.arange(len(ids) - reach)
+    rolled = base.Sequence(ids.astype(_U) + _U(1)).span(i, i + reach)
+    return np.flatnonzero((rolled & _U(average - 1)) == 0) + reach
+
+
+def cuts(places: list[int], start: int, end: int, least: int = LEAST, most: int = MOST, reach: int = REACH) -> list[int]:
+    """Where chunks of the stream from ``start`` to ``end`` end, given the marks in it, ascending."""
+    ends, at = [], start
+    for place in [*(p for p in places if p >= start + reach), end]:
+        while place - at > most:
             at += most
             ends.append(at)
-        if mark - at >= least or mark == n:
-            at = mark
-            if n and (not ends or ends[-1] != at):
-                ends.append(at)
+        if at < place and (place - at >= least or place == end):
+            at = place
+            ends.append(at)
     return ends
 
 
 def _chunk_kernel(path: str, end: int, width: int):
     names = ["doc", "doc_id", "n_tokens", "root", "digests", "sizes", "fresh"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())]))]
+
+    def lists(counts: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
 
     def kernel(batches):
         enc, tail = encoder(path), int(end).to_bytes(4, "little")
         doc, sent = pyspark.TaskContext.get().partitionId() << 40, set()
         for batch in batches:
-            rows, ids = base.byte_rows(batch, "text"), batch.column("doc_id").to_pylist()
+            rows, ids = base.byte_rows(batch, "text"), batch.column("doc_id")
             for a, b in base.chunks(rows):
-                out = []
-                for k in range(a, b):
-                    stream = np.frombuffer(enc.ids(rows[k]) + tail, "<u4")
-                    if int(stream.max()) >> 8 * width:
-                        raise ValueError(f"ids need more than {width} bytes")
-                    ends = cuts(stream)
-                    data = stream.astype(f"<u{width}").tobytes()
-                    pieces = [data[width * x : width * y] for x, y in zip([0, *ends], ends, strict=False)]
-                    digests = [digest(p) for p in pieces]
-                    fresh = []
-                    for d, p in zip(digests, pieces, strict=True):
+                streams = [s + tail for s in enc.many(rows[a:b])]
+                whole = np.frombuffer(b"".join(streams), "<u4")
+                if int(whole.max()) >> 8 * width:
+                    raise ValueError(f"ids need more than {width} bytes")
+                places, data = marks(whole), whole.astype(f"<u{width}").tobytes()
+                tokens = np.array([len(s) // 4 for s in streams])
+                ends = np.cumsum(tokens)
+                inner = np.split(places, np.searchsorted(places, ends[:-1]))
+                roots, digests, sizes, counts, fresh, news = [], [], [], [], [], []
+                for start, stop, own in zip((ends - tokens).tolist(), ends.tolist(), inner, strict=True):
+                    at, mine, new = start, [], len(fresh)
+                    for z in cuts(own.tolist(), start, stop):
+                        piece = data[width * at : width * z]
+                        d = digest(piece)
+                        mine.append(d)
+                        sizes.append(z - at)
+                        at = z
                         if d not in sent:  # what a task has sent it needn't send again; forgetting costs only space
                             if len(sent) >= 1 << 18:
                                 sent.clear()
                             sent.add(d)
-                            fresh.append({"digest": d, "data": p})
-                    out.append((doc, ids[k], len(stream), merkle(digests), digests, np.diff([0, *ends]).tolist(), fresh))
-                    doc += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                            fresh.append((d, piece))
+                    roots.append(merkle(mine))
+                    digests += mine
+                    counts.append(len(mine))
+                    news.append(len(fresh) - new)
+                f = pa.StructArray.from_arrays([pa.array([d for d, _ in fresh], pa.binary()), pa.array([x for _, x in fresh], pa.binary())], ["digest", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(doc, doc + b - a)), ids[a:b], pa.array(tokens, pa.int64()), pa.array(roots, pa.binary()), lists(counts, pa.array(digests, pa.binary())), lists(counts, pa.array(sizes, pa.int32())), lists(news, f)],
+                    names,
+                )
+                doc += b - a
 
     return kernel
 
