@@ -16,6 +16,7 @@ Repeated rows and null keys pass as they are.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -50,9 +51,10 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, boilerplate from here on, region
+        # open elements that matter: tag, boilerplate from here on, region; plain inline elements don't
+        self.open: list[tuple[str, bool, int]] = []
+        self.count: Counter[str] = Counter()
         self.kinds, self.lines, self.text, self.tags = ["page"], [], [], 0
-        self.mark = (False, 0)
 
     def _state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (False, 0)
@@ -77,19 +79,25 @@ class _Lines(HTMLParser):
             self._close("li", {"ul", "ol", "menu"})
         noise, region = self._state()
         named = dict(attrs)
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = self.count["article"] + self.count["main"] > 0
+        above = noise
         noise = noise or tag in DROPPED or (tag == "header" and not inside) or (named.get("role") or "").lower() in ROLES or "hidden" in named or (named.get("aria-hidden") or "") == "true"
         noise = noise or (tag not in _TRUSTED and any(NOISE.search(v) for k in ("class", "id") if (v := named.get(k))))
         if tag in REGIONS and not (region and self.kinds[region] in ("article", "main") and tag not in ("article", "main")):
             if not (tag == "article" and inside and self.kinds[region] == "article"):
                 region = len(self.kinds)
                 self.kinds.append(tag)
-        self.open.append((tag, noise, region))
+        if tag in BLOCKS or tag in DROPPED or noise != above:
+            self.open.append((tag, noise, region))
+            self.count[tag] += 1
 
     def _close(self, tag, within=frozenset()) -> None:
         """Closes the innermost such element, unless one of ``within`` lies between."""
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                self.count.subtract(t for t, _, _ in self.open[k:])
                 del self.open[k:]
                 return
             if self.open[k][0] in within:
