@@ -121,10 +121,10 @@ def nibble_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _key_kernel(keys, rows: int = 4096):
     def kernel(batches):
         for batch in batches:
-            fp, rep = batch.column("fp").to_numpy(), batch.column("rep").to_numpy()
+            fp = batch.column("fp").to_numpy()
             for at in range(0, len(fp), rows):
                 of, key, role = keys(fp[at : at + rows].view(_U))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, fp[at:][of], rep[at:][of], role)], ["key", "fp", "rep", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key, fp[at:][of], role)], ["key", "fp", "role"])
 
     return kernel
 
@@ -153,17 +153,17 @@ class _Forest:
 
 
 def _link_kernel(bits: int, limit: int | None):
-    """Rows come sorted by key. Gives (0, a, b) for links that join what this task has not yet joined, (1, fp, rep) for rows of too large keys."""
-    cols = ["key", "fp", "rep", "role"]
+    """Rows come sorted by key. Gives (0, a, b) for links that join what this task has not yet joined, (1, fp, fp) for rows of too large keys."""
+    cols = ["key", "fp", "role"]
 
     def kernel(batches):
         forest = _Forest()
-        held, hot = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int8)], None
+        held, hot = [np.zeros(0, t) for t in (np.int64, np.int64, np.int8)], None
 
         def out(kind, a, b):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["kind", "a", "b"])
 
-        def links(key, fp, rep, role):
+        def links(key, fp, role):
             bit = fp.view(_U)
             i, lag = np.arange(len(key)), 1
             while True:
@@ -172,9 +172,9 @@ def _link_kernel(bits: int, limit: int | None):
                 if not len(i):
                     return
                 j = i + lag
-                ok = ((role[i] | role[j]) == 3) & (rep[i] != rep[j])
+                ok = ((role[i] | role[j]) == 3) & (fp[i] != fp[j])
                 ok[ok] = np.bitwise_count(bit[i[ok]] ^ bit[j[ok]]) <= bits
-                if ok.any() and (news := forest.news(rep[i[ok]], rep[j[ok]])):
+                if ok.any() and (news := forest.news(fp[i[ok]], fp[j[ok]])):
                     yield out(0, *zip(*news, strict=True))
                 lag += 1
 
@@ -189,7 +189,7 @@ def _link_kernel(bits: int, limit: int | None):
             over |= now[0][start] == hot if hot is not None else False
             if over.any():
                 rows = np.repeat(over, size)
-                yield out(1, now[1][rows], now[2][rows])
+                yield out(1, now[1][rows], now[1][rows])
                 hot = now[0][-1] if over[-1] else None
             done = np.repeat(~over, size)
             last = start[-1]
@@ -206,12 +206,12 @@ def _compared(keyed: DataFrame, bits: int, limit: int | None) -> DataFrame:
 
 
 def links(classes: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
-    """(a, b): a spanning set of the links between the classes (fp, rep), by their representatives, a < b."""
+    """(a, b): a spanning set of the links between the fingerprints ``fp`` of distinct classes, a < b."""
     if bits > 3:
         raise ValueError("the segments allow for three differing bits")
-    keyed = "key long, fp long, rep long, role byte"
-    found = base.written(_compared(base.mapped(classes, _key_kernel(golay_keys), keyed), bits, limit), "links")
-    large = found.where("kind = 1").select(F.col("a").alias("fp"), F.col("b").alias("rep")).distinct()
+    keyed = "key long, fp long, role byte"
+    found = base.written(_compared(base.mapped(classes.select("fp"), _key_kernel(golay_keys), keyed), bits, limit), "links")
+    large = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
     again = _compared(base.mapped(large, _key_kernel(nibble_keys, 64), keyed), bits, None)
     return found.unionByName(again).where("kind = 0").select("a", "b")
 
@@ -248,8 +248,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, b
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = base.written(fingerprints(docs, shingle, seed), "fingerprints")
     classes = base.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    known = components(links(classes.where("rep is not null"), bits, limit))
-    label = classes.join(known, classes.rep == known.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    known = components(links(classes, bits, limit))
+    roots = base.written(classes.join(known, classes.fp == known.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "roots")
+    least = base.written(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    label = base.written(roots.join(least, "root").select("fp", "component_id"), "labels")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -42,12 +42,17 @@ def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
     at = data.find(_START)
     while 0 <= at < len(data):
         body = data.find(b"\r\n\r\n", at)
-        header = data[at : body if body >= 0 else len(data)]
-        n = _LENGTH.search(header)
-        end = body + 4 + int(n[1]) + 4 if body >= 0 and n else len(data)
-        if end > len(data) or data[end - 4 : end] != b"\r\n\r\n" or (end < len(data) and data[end : end + len(_START)] != _START):
-            end = data.find(_START, at + 1)
-            end = len(data) if end < 0 else end
+        after = data.find(_START, at + 1, body) if body >= 0 else data.find(_START, at + 1)
+        if body < 0 or after >= 0:  # cut within its header
+            end = after if after >= 0 else len(data)
+            header = data[at:end]
+        else:
+            header = data[at:body]
+            n = _LENGTH.search(header)
+            end = body + 8 + int(n[1]) if n else len(data) + 1
+            if end > len(data) or data[end - 4 : end] != b"\r\n\r\n" or (end < len(data) and data[end : end + len(_START)] != _START):
+                after = data.find(_START, at + 1)
+                end = after if after >= 0 else len(data)
         yield at, end - at, header
         at = data.find(_START, end)
 
