@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from . import base
 
@@ -222,9 +223,8 @@ def describe(df: DataFrame, column: str = "media") -> DataFrame:
                     errors.append(str(e))
             yield batch.select(rest).append_column("tracks", pa.array(found, pa.list_(_TRACK))).append_column("error", pa.array(errors, pa.string()))
 
-    kind = "array<struct<codec:string,handler:string,duration_s:double,samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>"
-    base_schema = df.select(rest).schema
-    return base.mapped(df.select(*rest, column), kernel, base_schema.add("tracks", kind).add("error", "string"))
+    found = StructType.fromDDL("tracks array<struct<codec:string,handler:string,duration_s:double,samples:bigint,keyframes:array<struct<start:bigint,end:bigint>>>>, error string")
+    return base.mapped(df.select(*rest, column), kernel, StructType(df.select(rest).schema.fields + found.fields))
 
 
 def store(docs: DataFrame) -> DataFrame:

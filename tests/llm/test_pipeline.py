@@ -1,0 +1,62 @@
+import zlib
+from collections import defaultdict
+
+import corpus_pipeline
+import numpy as np
+from lodestone.llm import base, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_are_named_by_operator(spark):
+    names = list(queries.queries())
+    assert [n for n in names if n.startswith("op")] and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = queries.table(spark, SF, "documents")
+    seen = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = base.written(stage(spark, docs, SF), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen.append(docs.count())
+    assert seen == sorted(seen, reverse=True) and seen[2] < seen[1] and seen[4] < seen[3]
+    kept = {r.doc_id: r for r in docs.collect()}
+    assert len(kept) == seen[-1] and all(r.n_chars == len(r.text) and r.text.split() for r in kept.values())
+    # no window of 50 words is left in two documents, and no benchmark item is
+    windows = defaultdict(set)
+    for r in kept.values():
+        w = r.text.split()
+        for k in range(len(w) - 49):
+            windows[" ".join(w[k : k + 50])].add(r.doc_id)
+    # windows that cutting has put together may repeat; those of untouched documents don't
+    assert np.mean([len(v) > 1 for v in windows.values()] or [0]) < 0.001
+    items = [r.text for r in queries.table(spark, SF, "benchmark").collect()]
+    assert not any(i in r.text for i in items for r in kept.values())
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in rows} == set(kept)
+
+
+def test_run_equals_its_stages(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    again = corpus_pipeline.run(spark, SF).collect()
+    key = lambda r: (r.doc_id, r.start)
+    assert [(r.doc_id, r.start, r.length, r.ids_crc32) for r in sorted(rows, key=key)] == [(r.doc_id, r.start, r.length, r.ids_crc32) for r in sorted(again, key=key)]
+    assert all(isinstance(r.ids_crc32, int) and r.ids_crc32 >= 0 for r in rows) and zlib.crc32(b"") == 0
+
+
+def test_empty_and_odd_documents(spark):
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the of and that is", "en", "s", 3), (4, "123", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    full = queries.table(spark, SF, "documents").limit(30)
+    both = docs.unionByName(full)
+    out = base.written(corpus_pipeline.STAGES[0][1](spark, both, SF), "language")
+    ids = {r.doc_id for r in out.collect()}
+    assert not ids & {1, 2, 4} or 2 not in ids
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        out = base.written(stage(spark, out, SF), "stage")
+    assert out.count() > 0
+    none = full.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = base.written(stage(spark, none, SF), "stage")
+    assert none.count() == 0
