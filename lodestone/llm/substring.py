@@ -152,7 +152,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds=ROUNDS) -> DataFrame:
     near = base.written(found.join(shared, "key"), "shared")
     base.dropped(spark, found)
     least = near.groupBy("key", "c1", "c2").agg(F.min("doc_id").alias("least"))
-    forms = least.groupBy("key").agg(F.count("*").alias("forms"))
+    least = base.written(least, "contents")
+    forms = base.written(least.groupBy("key").agg(F.count("*").alias("forms")), "forms")
     least = base.written(least.join(forms, "key"), "least")
     judged = base.written(near.join(least, ["key", "c1", "c2"]).where("doc_id > least or forms > 1").select("doc_id", "mark", "start", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
     base.dropped(spark, near)
