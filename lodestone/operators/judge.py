@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, JudgeConfig
 from ..functions import jsonfix
+from ..session import importable
 from .rubric import Rubric
 
 Judge = Callable[[str, str, int, int], str]
@@ -134,6 +135,7 @@ def judge(docs: DataFrame, key: str, rubric: Rubric, role: str, ask: Judge, cfg:
                 out.append((r.id, *judge_one(ask, role, rubric, list(r.texts), list(r.matched), list(r.missing), cfg, single_pass), time.perf_counter() - began))
             yield pd.DataFrame(out, columns=["id", "reply", "error", "calls", "seconds"])
 
+    importable(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("id"), F.transform("chunks", lambda c: c["text"]).alias("texts"), "matched", "missing").where(F.size("texts") > 0)
     replies = rows.repartition(cfg.partitions).mapInPandas(run, f"id {kind}, reply string, error string, calls int, seconds double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,11 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **con
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def importable(spark: SparkSession | None = None) -> None:
+    """Lets Python workers on this machine import the package, wherever the driver was started. On a cluster it is installed or shipped."""
+    environment = (spark or SparkSession.active()).sparkContext.environment
+    root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cleanup
 from ..operators.ranking import cache_misses
+from ..session import importable
 
 #: bytes -> page texts; raises for a file that can't be opened, PermissionError for an encrypted one.
 Extractor = Callable[[bytes], list[tuple[str, bool]]]
@@ -74,6 +75,7 @@ def extracted(files: DataFrame, extractor: Extractor = plain_text) -> DataFrame:
             pages, texts, ocr, errors = zip(*out, strict=True) if out else ((), (), (), ())
             yield rows[["file", "path", "input_pos", "sha1"]].assign(pages=pd.array(pages, "Int32"), text=list(texts), ocr_used=list(ocr), error=list(errors))
 
+    importable(files.sparkSession)
     rows = files.select("file", "path", "input_pos", "sha1", "content").mapInPandas(run, "file string, path string, input_pos int, sha1 string, pages int, text string, ocr_used boolean, error string")
     return rows.withColumn("text", cleanup(F.col("text"))).withColumn("cached", F.lit(False))
 
