@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 #: Bytes of text that a kernel works on at a time, so that its arrays stay small whatever a batch holds.
 CHUNK_BYTES = 1 << 20
 _U = np.uint64
@@ -61,6 +63,7 @@ def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[
         yield from kernel(slices(batches))
         pa.default_memory_pool().release_unused()
 
+    importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
