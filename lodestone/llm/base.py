@@ -18,6 +18,8 @@ from ..session import importable
 
 #: Bytes of text that a kernel works on at a time, so that its arrays stay small whatever a batch holds.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch between Spark and a kernel.
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 _U = np.uint64
 
 
@@ -64,6 +66,10 @@ def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[
         pa.default_memory_pool().release_unused()
 
     importable(df.sparkSession)
+    # Spark makes batches by rows alone, and long texts would make them large; a smaller setting of the caller's stays
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_ROWS, "10000")) > ROWS:
+        conf.set(BATCH_ROWS, str(ROWS))
     return df.mapInArrow(run, schema)
 
 
