@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html, langid, media, packing, quality, simhash, substring, tokens, warc
+from . import base, decontam, html, langid, media, packing, quality, simhash, substring, tokens, warc
 
 #: A tokenizer file installed on every machine.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,10 +20,13 @@ def tokenizer() -> str:
 
 
 def op1_warc(spark, sf_dir):
-    """A fixity drill: pages as stored WARC segments against a replica with known damage."""
-    pages = table(spark, sf_dir, "pages")
-    mine, other = (warc.leaves(warc.archive(pages, damage)) for damage in (None, warc.drill))
-    return warc.audit(mine, other)
+    """A fixity drill: pages as stored WARC segments against a replica with known damage. The segments go when their records are hashed."""
+    pages, sides = table(spark, sf_dir, "pages"), []
+    for damage in (None, warc.drill):
+        stored = warc.archive(pages, damage)
+        sides.append(warc.leaves(stored))
+        base.dropped(spark, stored)
+    return warc.audit(*sides)
 
 
 def op2_substring(spark, sf_dir):
@@ -81,8 +84,8 @@ ORACLES = {
             ) || html || encode(chr(13) || chr(10) || chr(13) || chr(10)) AS data
             FROM body
         ), before AS (
-            SELECT page_id, page_id >> 12 AS segment, octet_length(data) AS length, sha256(data) AS digest,
-                coalesce(sum(octet_length(data)) OVER (PARTITION BY page_id >> 12 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS put
+            SELECT page_id, page_id >> 8 AS segment, octet_length(data) AS length, sha256(data) AS digest,
+                coalesce(sum(octet_length(data)) OVER (PARTITION BY page_id >> 8 ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS put
             FROM rec
         )
         SELECT page_id,

@@ -1,6 +1,6 @@
 """WARC fixity audit with Merkle trees.
 
-``archive`` writes pages as WARC/1.0 resource records, in ascending page_id order, into segments of 4,096 ids, each in parts of
+``archive`` writes pages as WARC/1.0 resource records, in ascending page_id order, into segments of 256 ids, each in parts of
 about ``PART_BYTES``: a Parquet table (segment, part, data) in the shared folder. ``leaves`` reads such a table back, walks its
 records by their headers and hashes each one. A tree's lowest nodes are page ids with the hashes of their records; above, a
 node is an ordered range of 16 nodes, which lie one after another in their segment, so a node stands for an offset range.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-FAN_BITS, SEGMENT_BITS, PART_BYTES = 4, 12, 4 << 20
+FAN_BITS, SEGMENT_BITS, PART_BYTES = 4, 8, 4 << 20
 _START = b"WARC/1.0\r\n"
 _ID = re.compile(rb"^WARC-Record-ID: <urn:page:(-?\d+)>\r?$", re.M)
 _LENGTH = re.compile(rb"^Content-Length: *(\d+)\r?$", re.M | re.I)
