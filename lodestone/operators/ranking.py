@@ -15,7 +15,9 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """
     free = next(c for c in ("part_", "part__", "part___") if c not in df.columns)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn(free, F.spark_partition_id())
+    # dealt out once before, so that what is costly in ``df`` isn't computed again for sampling and for counting
+    once = df.repartition(n).where(F.spark_partition_id() >= 0)
+    parts = once.repartitionByRange(n, *order).withColumn(free, F.spark_partition_id())
     sizes = parts.groupBy(free).agg(F.count("*").alias("size"))
     before = sizes.select(free, F.coalesce(F.sum("size").over(Window.orderBy(free).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     number = F.row_number().over(Window.partitionBy(free).orderBy(*order))
