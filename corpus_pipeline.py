@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import base, decontam, langid, packing, simhash, substring
+from lodestone.llm import base, decontam, langid, neardup, packing, substring
 from lodestone.llm.queries import table, tokenizer
 
 
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    return simhash.representatives(docs)
+    """Of each group of near-duplicates, linked by a similarity of 0.8 over five-word shingles, the document of the smallest id stays."""
+    return neardup.representatives(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
