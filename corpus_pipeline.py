@@ -1,6 +1,6 @@
 """Documents to packed sequences in five stages, each of which works on all that the one before it kept.
 
-Rows without a doc_id pass the first stage only: a group of near-duplicates is known by its smallest id.
+Of a group of near-duplicates without any doc_id the smallest text stays.
 """
 
 from __future__ import annotations

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .simhash import components
+from .simhash import components, survivors
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: The sample that tells frequent shingles, and how many there are at most: they decide about the order, not about the result.
@@ -238,20 +238,6 @@ def roots(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
     return marks.select("doc_id", "h", "cls").join(known, F.col("cls") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "cls").alias("root"))
 
 
-def survivors(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """One document of each ``root`` of ``marks`` (doc_id, h, root): that of the smallest id, of the smallest text among
-    several; where none has an id, the one of the smallest text."""
-    marks = base.written(marks, "marks")
-    least = marks.groupBy("root").agg(F.min("doc_id").alias("least"))
-    heads = marks.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    spare = [c for c in (f"{name}_{k}" for k in range(len(docs.columns) + 1) for name in ("id", "hash", "root", "rank")) if c not in docs.columns]
-    at, by, root, rank = (next(c for c in spare if c.startswith(name)) for name in ("id", "hash", "root", "rank"))
-    heads = heads.select(F.col("doc_id").alias(at), F.col("h").alias(by), F.col("root").alias(root)).distinct()
-    found = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(F.col("text").cast("string")) == F.col(by)))
-    first = F.row_number().over(Window.partitionBy(root).orderBy("text"))
-    return found.withColumn(rank, first).where(F.col(rank) == 1).select([F.col(f"`{c}`") for c in docs.columns])
-
-
 def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Of each group of near-duplicates one document, all its columns."""
     return survivors(docs, roots(docs, shingle, similarity))

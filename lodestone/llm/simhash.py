@@ -78,7 +78,7 @@ def _fingerprint_kernel(shingle: int, seed: int):
     def kernel(batches):
         for batch in batches:
             fps = np.array([fingerprint(r, shingle, seed) for r in base.byte_rows(batch, "text")], _U)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield batch.drop_columns(["text"]).append_column("fp", pa.array(fps.view(np.int64)))
 
     return kernel
 
@@ -244,12 +244,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _roots(prints: DataFrame, bits: int, limit: int) -> DataFrame:
+    """(fp, rep, root): each class with the smallest id in it and the component it is in."""
+    classes = base.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    known = components(links(classes, bits, limit))
+    return base.written(classes.join(known, classes.fp == known.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = base.written(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = base.written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    known = components(links(classes, bits, limit))
-    roots = base.written(classes.join(known, classes.fp == known.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "roots")
+    roots = _roots(prints, bits, limit)
     least = base.written(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     label = base.written(roots.join(least, "root").select("fp", "component_id"), "labels")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
@@ -259,11 +264,22 @@ def shown(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the smallest id of each component, one row each: of repeated rows with that id the one of the
-    smallest text. Rows without an id can't stand for a component and go."""
-    heads = near_duplicates(docs, **options).select("component_id").where("component_id is not null").distinct()
-    kept = docs.join(heads, F.col("doc_id").cast("long") == F.col("component_id"), "left_semi")
-    free = next(c for c in ("rank_", "rank__", "rank___") if c not in docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn(free, first).where(f"{free} = 1").drop(free)
+def survivors(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """One document of each ``root`` of ``marks`` (doc_id, h, root): that of the smallest id, of the smallest text among
+    several; where none has an id, the one of the smallest text."""
+    marks = base.written(marks, "marks")
+    least = marks.groupBy("root").agg(F.min("doc_id").alias("least"))
+    heads = marks.join(least, "root").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    spare = [c for c in (f"{name}_{k}" for k in range(len(docs.columns) + 1) for name in ("id", "hash", "root", "rank")) if c not in docs.columns]
+    at, by, root, rank = (next(c for c in spare if c.startswith(name)) for name in ("id", "hash", "root", "rank"))
+    heads = heads.select(F.col("doc_id").alias(at), F.col("h").alias(by), F.col("root").alias(root)).distinct()
+    found = docs.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64(F.col("text").cast("string")) == F.col(by)))
+    first = F.row_number().over(Window.partitionBy(root).orderBy("text"))
+    return found.withColumn(rank, first).where(F.col(rank) == 1).select([F.col(f"`{c}`") for c in docs.columns])
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
+    """Of each component one document, all its columns."""
+    rows = base.columns_only(docs, {"doc_id": "long", "text": "string"}).withColumn("h", F.xxhash64("text"))
+    prints = base.written(base.mapped(rows, _fingerprint_kernel(shingle, seed), "doc_id long, h long, fp long"), "fingerprints")
+    return survivors(docs, prints.join(_roots(prints, bits, limit), "fp").select("doc_id", "h", "root"))

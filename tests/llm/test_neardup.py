@@ -2,7 +2,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from lodestone.llm import base, neardup, queries
+from lodestone.llm import base, neardup, queries, simhash
 
 
 def shingles(text):
@@ -58,3 +58,12 @@ def test_pipeline_stage_finds_all_similar_pairs(spark):
     want = groups([rows[i] for i in ids])
     kept = {r.doc_id for r in base.written(corpus_pipeline.near_duplicates(spark, docs, ""), "kept").collect()}
     assert kept == {i for k, i in enumerate(ids) if k == min(j for j in range(len(ids)) if want[j] == want[k])}
+
+
+@pytest.mark.parametrize("module", [neardup, simhash])
+def test_repeated_and_null_ids_lose_no_group(spark, module):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (7, b), (5, a), (None, c), (None, c), (None, d), (9, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, module.representatives(docs).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (None, c), (9, d)], key=str)
