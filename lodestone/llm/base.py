@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from ..session import importable
 
 #: Bytes of text that a kernel works on at a time, so that its arrays stay small whatever a batch holds.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch between Spark and a kernel.
+#: Rows of an Arrow batch between Spark and a kernel while a scratch table is written.
 BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 _U = np.uint64
 
@@ -33,24 +34,42 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints"
 
 
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path for a table in the shared folder. All of an application's are deleted when its driver ends."""
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path, files = _folder(spark, top)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    # Spark makes Arrow batches by rows alone, and long texts would make them large; a smaller setting of the caller's stays
+    rows = spark.conf.get(BATCH_ROWS, None)
+    try:
+        if rows is None or int(rows) > ROWS:
+            spark.conf.set(BATCH_ROWS, str(ROWS))
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(BATCH_ROWS) if rows is None else spark.conf.set(BATCH_ROWS, rows)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def dropped(spark: SparkSession, table: DataFrame) -> None:
     """Deletes a scratch table that nothing reads any more, and lets Spark clear the shuffles behind it."""
-    jvm = spark.sparkContext._jvm
-    for file in table.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    jvm.System.gc()
+    path, files = _folder(spark, table._scratch)
+    files.delete(path, True)
+    spark.sparkContext._jvm.System.gc()
 
 
 def columns_only(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -66,10 +85,6 @@ def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterable[
         pa.default_memory_pool().release_unused()
 
     importable(df.sparkSession)
-    # Spark makes batches by rows alone, and long texts would make them large; a smaller setting of the caller's stays
-    conf = df.sparkSession.conf
-    if int(conf.get(BATCH_ROWS, "10000")) > ROWS:
-        conf.set(BATCH_ROWS, str(ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -132,55 +147,122 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_RND = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Bits of an 8-byte lane that belong to a word of so many bytes.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Words beyond this many bytes are hashed one by one.
+LONG_WORD = 512
+
+
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one integer; zeros follow the last byte."""
+    whole = np.concatenate((buf, np.zeros(8, np.uint8)))
+    return np.ndarray((len(buf) + 1,), "<u8", whole.data, strides=(1,))
+
+
+def _few_lanes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for some places of a large array, which is not copied."""
+    inner = np.minimum(at, len(buf) - 8)
+    return np.ndarray((len(buf) - 7,), "<u8", buf.data, strides=(1,))[inner] >> ((at - inner) << 3).astype(_U)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: lanes of eight bytes, each mixed in by a bijection, so that no structure cancels out.
+
+    Words of the same length up to eight bytes never collide.
+    """
+    lane, size = _lanes(buf), ends - starts
+    out = mix(size.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(0xD6E8FEB86659FD93))
+    some = np.flatnonzero(size <= LONG_WORD)
+    at, left, h = starts[some], size[some], out[some]
+    while len(some):
+        h = mix(h ^ (lane[at] & _LANE[np.minimum(left, 8)]))
+        more = left > 8
+        out[some[~more]] = h[~more]
+        some, at, left, h = some[more], at[more] + 8, left[more] - 8, h[more] + _U(0xA0761D6478BD642F)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].data, 42)
+    return out
+
+
+def same_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each word of ``buf`` has the bytes of the word of ``other`` from ``at`` to ``to``."""
+    buf, other = (np.concatenate((x, np.zeros(8, np.uint8))) if len(x) < 8 else x for x in (buf, other))
+    same = ends - starts == to - at
+    some = np.flatnonzero(same)
+    a, b, left = starts[some], at[some], (ends - starts)[some]
+    while len(some):
+        ok = (_few_lanes(buf, a) ^ _few_lanes(other, b)) & _LANE[np.minimum(left, 8)] == 0
+        same[some[~ok]] = False
+        on = ok & (left > 8)
+        some, a, b, left = some[on], a[on] + 8, b[on] + 8, left[on] - 8
+    return same
+
+
+#: Stretches are polynomials modulo this prime, in two bases without any relation.
+PRIME = (1 << 61) - 1
+_P, _LOW, _MID = _U(PRIME), _U(0xFFFFFFFF), _U((1 << 29) - 1)
+_BASES = (0x0A3F1C6E5B9D2781, 0x1C84E6A39F07B5D2)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.minimum(x, x - _P)  # below zero wraps around to the top
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a x b modulo the prime, for numbers below it."""
+    a1, a0, b1, b0 = a >> _U(32), a & _LOW, b >> _U(32), b & _LOW
+    mid = a1 * b0
+    mid += a0 * b1
+    a1 *= b1
+    a1 <<= _U(3)  # 2**64 is 8
+    a0 *= b0
+    a1 += a0 >> _U(61)
+    a0 &= _P
+    a1 += a0
+    a1 += mid >> _U(29)
+    mid &= _MID
+    mid <<= _U(32)
+    a1 += mid
+    return _reduced(a1)
+
+
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses, kept per process."""
+    """Powers of a base modulo the prime and their inverses, kept per process."""
     if which not in _POWERS or len(_POWERS[which][0]) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
         pair = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            p = np.full(size, base, _U)
-            p[0] = 1
-            pair.append(np.multiply.accumulate(p))
+        for b in (_BASES[which], pow(_BASES[which], -1, PRIME)):
+            p, step = np.ones(1, _U), b
+            while len(p) < max(n, 1024):
+                p = np.concatenate((p, times(p, np.full(len(p), step, _U))))
+                step = step * step % PRIME
+            pair.append(p)
         _POWERS[which] = (pair[0], pair[1])
     return _POWERS[which]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from prefix sums of a polynomial; in segments, so that long rows stay cheap."""
-    out = np.empty(len(starts), _U)
-    at = 0
-    while at < len(starts):
-        a = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, a + CHUNK_BYTES, "right")))
-        z = int(ends[to - 1])
-        pw, inv = _powers(0, z - a + 1)
-        prefix = np.zeros(z - a + 1, _U)
-        np.cumsum(_RND[buf[a:z]] * pw[: z - a], out=prefix[1:])
-        s, e = starts[at:to] - a, ends[at:to] - a
-        out[at:to] = (prefix[e] - prefix[s]) * inv[s]
-        at = to
-    return mix(out)
-
-
 class Sequence:
     """Hashes of any stretch of items in constant time; equal stretches have equal hashes wherever they stand."""
 
     def __init__(self, items: np.ndarray):
-        self.n = len(items)
-        self.prefix = []
-        for which in (1, 2):
-            p = np.zeros(self.n + 1, _U)
-            np.cumsum(items * _powers(which, self.n + 1)[0][: self.n], out=p[1:])
-            self.prefix.append(p)
+        self.n, self.items = len(items), _reduced(items)
+        self.prefix: dict[int, np.ndarray] = {}
+
+    def _prefix(self, which: int) -> np.ndarray:
+        if which not in self.prefix:
+            x = times(self.items, _powers(which, self.n + 1)[0][: self.n])
+            # sums of halves don't overflow before 2**32 items
+            high, low = np.zeros(self.n + 1, _U), np.zeros(self.n + 1, _U)
+            np.cumsum(x >> _U(32), out=high[1:])
+            np.cumsum(x & _LOW, out=low[1:])
+            self.prefix[which] = _reduced((high >> _U(29)) + ((high & _MID) << _U(32)) + low)
+        return self.prefix[which]
 
     def span(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-        p = self.prefix[which]
-        return mix((p[b] - p[a]) * _powers(1 + which, self.n + 1)[1][a])
+        p = self._prefix(which)
+        x = p[b] - p[a]
+        return mix(times(np.minimum(x, x + _P), _powers(which, self.n + 1)[1][a]))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

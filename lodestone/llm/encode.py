@@ -3,7 +3,8 @@
 For a tokenizer that drops white space and never joins tokens across it, the ids of a text are those of its words
 (runs without 0x20, 0x09-0x0D) one after another. So a slice of texts is cut into words, equal words are found by sorting
 their 64-bit hashes, and only words that aren't in the cache go through the library, in one call for all of them. The cache is
-a direct-mapped table: a word takes the place of another with the same low bits. Whether a tokenizer is of this kind is
+a direct-mapped table: a word takes the place of another with the same low bits. Bytes decide whether words are equal, in a
+slice and in the cache: a slice in which hashes collide is encoded as whole texts. Whether a tokenizer is of this kind is
 read from its file; others encode whole texts.
 """
 
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 from . import base
 
-#: Places for words, and ids that they may have together, per process.
+#: Places for words, and ids and bytes that they may have together, per process.
 SLOTS, POOL = 1 << 21, 1 << 23
 _LOADED: dict[str, "Encoder"] = {}
 _PUNCTUATION = string.punctuation.encode()
@@ -43,6 +44,7 @@ class Encoder:
         self.ends = np.array([bool(suffix) and self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
         self.key, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.pool, self.used = np.zeros(pool, np.uint32), 0
+        self.spelled, self.begin, self.length, self.bytes = np.zeros(pool, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.int32), 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -96,13 +98,23 @@ class Encoder:
         if not len(s):
             return [b""] * len(rows)
         word, example, of = np.unique(base.word_hashes(buf, s, e), return_index=True, return_inverse=True)
-        if self.used + 2 * len(buf) > len(self.pool):
-            self.key[:], self.used = 0, 0
+        a, z = s[example], e[example]
+        long = np.flatnonzero(e - s > 8)  # shorter words of a length have different hashes
+        if ((e - s) != (z - a)[of]).any() or not base.same_words(buf, s[long], e[long], buf, a[of[long]], z[of[long]]).all():
+            return [self._whole(r.decode()).astype("<u4").tobytes() if r else b"" for r in rows]
+        if self.used + 2 * len(buf) > len(self.pool) or self.bytes + len(buf) > len(self.spelled):
+            self.key[:], self.used, self.bytes = 0, 0, 0
+            if len(buf) > len(self.spelled):
+                self.spelled = np.zeros(2 * len(buf), np.uint8)
         slot = (word & np.uint64(len(self.key) - 1)).astype(np.int64)
-        new = np.flatnonzero(self.key[slot] != word)
+        known = self.key[slot] == word
+        there = np.flatnonzero(known)
+        begin = self.begin[slot[there]].astype(np.int64)
+        known[there] = base.same_words(buf, a[there], z[there], self.spelled, begin, begin + self.length[slot[there]])
+        new = np.flatnonzero(~known)
         at, size = self.at[slot], self.size[slot]
         if len(new):
-            a, z = s[example[new]], e[example[new]]
+            a, z = a[new], z[new]
             data = memoryview(buf)
             words = [bytes(data[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
             ids, sizes = self._learned(words, self._parts(words, buf, a, z))
@@ -111,7 +123,11 @@ class Encoder:
             self.pool[self.used : self.used + len(ids)] = ids
             at[new], size[new] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used += len(ids)
+            # of new words in one place the last stays
             self.key[slot[new]], self.at[slot[new]], self.size[slot[new]] = word[new], at[new], size[new]
+            self.begin[slot[new]], self.length[slot[new]] = self.bytes + np.cumsum(z - a) - (z - a), z - a
+            self.spelled[self.bytes : self.bytes + int((z - a).sum())] = buf[base.ranges(a, z - a)]
+            self.bytes += int((z - a).sum())
         n = size[of].astype(np.int64)
         ids = self.pool[base.ranges(at[of].astype(np.int64), n)].astype("<u4").tobytes()
         cut = (4 * np.append(0, np.cumsum(n))[first]).tolist()

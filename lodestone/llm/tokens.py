@@ -31,6 +31,7 @@ from .encode import encoder
 
 END, REACH, LEAST, AVERAGE, MOST = 1, 8, 64, 256, 2048
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def digest(data: bytes) -> bytes:
@@ -52,9 +53,14 @@ def marks(ids: np.ndarray, average: int = AVERAGE, reach: int = REACH) -> np.nda
     """Places where the rolling hash of the ``reach`` ids before has its low bits clear; ``average`` is a power of two."""
     if len(ids) <= reach:
         return np.zeros(0, np.int64)
-    i = np.arange(len(ids) - reach)
-    rolled = base.Sequence(ids.astype(_U) + _U(1)).span(i, i + reach)
-    return np.flatnonzero((rolled & _U(average - 1)) == 0) + reach
+    if reach & (reach - 1):
+        raise ValueError("the reach of the rolling hash is a power of two")
+    rolled, width = base.mix(ids.astype(_U) + _U(1)), 1
+    while width < reach:  # of two neighbours one
+        rolled = rolled[:-width] * _ODD + rolled[width:]
+        rolled ^= rolled >> _U(29)
+        width *= 2
+    return np.flatnonzero((base.mix(rolled[:-1]) & _U(average - 1)) == 0) + reach
 
 
 def cuts(places: list[int], start: int, end: int, least: int = LEAST, most: int = MOST, reach: int = REACH) -> list[int]:
