@@ -1,10 +1,11 @@
 """Substring deduplication by recompression.
 
 Rounds name token runs and pairs: a round joins short maximal runs of one symbol, or pairs of a left and a right symbol,
-where a symbol's side is a bit of its name. A name is a 64-bit hash of the words that the symbol stands for, so it is
-the same in every partition and document and a round needs no exchange. No symbol grows beyond a round's limit, so what a
-round does at a place depends on ``limit - 1`` words on either side only; after all rounds, two equal stretches have equal
-symbols but for ``reach(ROUNDS)`` words at their ends.
+where a symbol's side is a bit of its name. The name of a run or pair is a 64-bit hash of the names of its parts and of the
+round, so it is the same in every partition and document, and a round needs no exchange to agree on names. No symbol grows
+beyond a round's limit, so what a round does at a place depends on ``limit - 1`` words on either side only; after all
+rounds, two equal stretches have equal symbols but for ``reach(ROUNDS)`` words at their ends. The rounds are as tall as windows of
+50 words allow whole common symbols: up to six words.
 
 Each window of ``window`` words is filed under one interior symbol, the one with the smallest scrambled name, together
 with the ``reach`` words around it, all inside the window. Windows of a document that share a symbol are one stretch. Then
@@ -13,8 +14,8 @@ with the ``reach`` words around it, all inside the window. Windows of a document
 2. stretches that start, as a whole, in a smaller document are repeats, by 128-bit hashes of all their words;
 3. the smallest document of each other stretch compares its single windows, again by 128-bit hashes.
 
-Null, empty: no words, nothing removed. Repeated ids: rows of one id never count against each other. Null ids: the row
-is kept whole and removes nothing elsewhere. Ties can't arise: only smaller ids count. Other columns are ignored.
+Null, empty: no words, nothing removed. Repeated ids: rows of one id never count against each other; repeated rows cost their
+number, as their spans are sets. Null ids: the row is kept whole and removes nothing elsewhere. Ties can't arise: only smaller ids count. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import base
 
 WINDOW = 50
-ROUNDS = (("run", 3), ("pair", 2), ("run", 3), ("pair", 3))
+ROUNDS = (("run", 3), ("pair", 2), ("pair", 4), ("pair", 6))
 _U = np.uint64
 
 
@@ -38,27 +39,32 @@ def reach(rounds=ROUNDS) -> int:
     return sum(limit - 1 for _, limit in rounds)
 
 
-def recompress(seq: base.Sequence, first: np.ndarray, rounds=ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and names of the symbols that stand after the rounds; none crosses from one row into the next."""
-    begins = np.zeros(seq.n + 1, bool)
+def recompress(words: np.ndarray, first: np.ndarray, rounds=ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and names of the symbols that stand after the rounds over hashed words; none crosses from one row into the next."""
+    n = len(words)
+    begins = np.zeros(n + 1, bool)
     begins[first] = True
-    at = np.arange(seq.n)
+    at, name = np.arange(n), words
     for number, (kind, limit) in enumerate(rounds):
-        end = np.append(at[1:], seq.n)
-        name, length, opens = seq.span(at, end), end - at, begins[at]
-        stays = np.ones(len(at), bool)
+        salt = _U(0x9E3779B97F4A7C15 * (2 * number + 1) % (1 << 64))
+        length, opens = np.append(at[1:], n) - at, begins[at]
         if kind == "run":
             head = np.append(True, (name[1:] != name[:-1]) | opens[1:])[: len(at)]
             run = np.flatnonzero(head)
             copies = np.diff(np.append(run, len(at)))
             short = (copies > 1) & ((copies + 1) * length[run] <= limit)
             stays = head | ~np.repeat(short, copies)
-        elif len(at) > 1:
-            right = (base.mix(name ^ _U(number + 1)) & _U(1)).astype(bool)
-            stays[1:] = ~(~right[:-1] & right[1:] & ~opens[1:] & (length[:-1] + length[1:] <= limit))
-        at = at[stays]
-    end = np.append(at[1:], seq.n)
-    return at, end, seq.span(at, end)
+            name = name.copy()
+            name[run[short]] = base.mix(name[run[short]] + salt * copies[short].astype(_U))
+        else:
+            right = (base.mix(name ^ salt) & _U(1)).astype(bool)
+            joins = ~right[:-1] & right[1:] & ~opens[1:] & (length[:-1] + length[1:] <= limit)
+            stays = np.append(True, ~joins)[: len(at)]
+            left = np.flatnonzero(joins)
+            name = name.copy()
+            name[left] = base.mix(base.mix(name[left] + salt) + name[left + 1])
+        at, name = at[stays], name[stays]
+    return at, np.append(at[1:], n), name
 
 
 def _smallest(order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -83,8 +89,9 @@ def stretches(rows: list[bytes | None], window: int = WINDOW, rounds=ROUNDS) ->
     windows = np.maximum(0, np.diff(first) - window + 1)
     if not windows.any():
         return {k: np.zeros(0, np.int64) for k in ("row", "key", "c1", "c2", "start", "n")}
-    seq = base.Sequence(base.word_hashes(buf, s, e))
-    p, q, name = recompress(seq, first[:-1][np.diff(first) > 0], rounds)
+    words = base.word_hashes(buf, s, e)
+    seq = base.Sequence(words)
+    p, q, name = recompress(words, first[:-1][np.diff(first) > 0], rounds)
     w = base.ranges(first[:-1], windows)
     count = np.zeros(seq.n + 2, np.int64)
     count[p + 1] = 1
@@ -157,12 +164,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds=ROUNDS) -> DataFrame:
     least = base.written(least.join(forms, "key"), "least")
     judged = base.written(near.join(least, ["key", "c1", "c2"]).where("doc_id > least or forms > 1").select("doc_id", "mark", "start", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
     base.dropped(spark, near)
-    parts = judged.where("not whole").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    parts = judged.where("not whole").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("parts"))
     single = base.written(base.mapped(marked.join(parts.hint("shuffle_hash"), ["doc_id", "mark"]), _window_kernel(window), "w1 long, w2 long, doc_id long, mark long, start int"), "windows")
     first = base.written(single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "first")
     later = single.join(first, ["w1", "w2"]).where("doc_id > least").select("doc_id", "mark", "start", F.lit(1).alias("n"))
     cover = judged.where("whole").select("doc_id", "mark", "start", "n").unionByName(later)
-    return cover.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end"))).alias("spans"))
+    return cover.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n") + F.lit(window - 1)).alias("end"))).alias("spans"))
 
 
 def covered(n_words: int, spans: list[dict]) -> np.ndarray:

@@ -94,8 +94,7 @@ def test_equal_windows_share_their_symbol(core, before, after):
 
 def test_symbols_never_cross_rows():
     buf, s, e, first = base.word_spans([b"a a a", b"a a b", b"", b"c"])
-    seq = base.Sequence(base.word_hashes(buf, s, e))
-    at, end, _ = substring.recompress(seq, first[:-1][np.diff(first) > 0])
+    at, end, _ = substring.recompress(base.word_hashes(buf, s, e), first[:-1][np.diff(first) > 0])
     assert {0, 3, 6} <= set(at.tolist()) and end[-1] == 7
 
 
@@ -106,3 +105,34 @@ def test_text_keeps_what_is_kept(spark):
     assert substring.deduplicated(docs).columns == docs.columns
     assert rows[1].text.startswith("Head.") and rows[2].text == "Other  one:\nend\tof it" and rows[2].n_chars == len(rows[2].text)
     assert rows[3].text == "" and rows[3].n_chars == 0 and rows[4].text is None
+
+
+def test_symbols_are_tall():
+    rows = [" ".join(words(k, 2000)).encode() for k in range(4)]
+    buf, s, e, first = base.word_spans(rows)
+    at, end, name = substring.recompress(base.word_hashes(buf, s, e), first[:-1])
+    assert (end - at).max() == 6 and len(at) < 0.5 * len(s)
+    spelled = {}
+    for a, z, n in zip(at.tolist(), end.tolist(), name.tolist(), strict=True):
+        spelled.setdefault(n, set()).add(bytes(buf[s[a] : e[z - 1]]))
+    assert all(len(v) == 1 for v in spelled.values())
+
+
+def test_copies_of_a_row_cost_their_number(spark, monkeypatch):
+    """Rows that repeat with their id: as many windows for each as for one."""
+    made = {}
+    plain = base.written
+
+    def counted(df, name, *rest):
+        out = plain(df, name, *rest)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(base, "written", counted)
+    a, b = words(1, 400), words(2, 100)
+    docs = [(1, " ".join(a[:300] + b)), (2, " ".join(a))]
+    for copies in (1, 40):
+        rows = docs + [docs[1]] * (copies - 1)
+        assert got(spark, rows) == expected(rows)
+        made[copies] = made["windows"]
+    assert 0 < made[40] <= 40 * made[1]
