@@ -1,7 +1,8 @@
 """Media columns: ISO base media files, described from their boxes and sample tables without decoding payloads.
 
-``describe`` walks nested boxes (32- and 64-bit sizes, boxes up to the end, user types), reads the sample tables of each track
-and gives codec, duration and the byte ranges of its keyframes. ``store`` puts texts into such files, as the 8-bit samples
+``describe`` walks nested boxes (32- and 64-bit sizes, boxes up to the end, user types, nested ``DEPTH`` deep at most), reads the
+sample tables of each track and the runs of its fragments, and gives codec, duration and the byte ranges of its keyframes. What a
+header counts is held against the bytes that are there before anything of that size is made. ``store`` puts texts into such files, as the 8-bit samples
 of one raw audio track whose access units hold 192 samples, every 16th a sync unit, and writes them as a Parquet table
 with a binary column.
 
@@ -25,6 +26,7 @@ from pyspark.sql.types import StructType
 from . import base
 
 UNIT, RATE, SYNC, UNITS_A_CHUNK = 192, 8000, 16, 32
+DEPTH = 16
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex", b"moof", b"traf"}
 
@@ -86,12 +88,16 @@ class Box(NamedTuple):
     start: int
     end: int
     path: tuple[bytes, ...]
+    at: int = 0  # where its header starts
 
 
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[Box]:
-    """Every box with the range of its body, parents before children; ValueError where sizes don't fit."""
-    end = len(data) if end is None else end
-    while start < end:
+    """Every box with the range of its body, parents before children; ValueError where sizes don't fit or boxes nest too deep."""
+    todo = [(start, len(data) if end is None else end, path)]
+    while todo:
+        start, end, path = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError(f"{end - start} stray bytes at {start}")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -104,11 +110,13 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             head += 16
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} doesn't fit")
-        found = Box(kind, start + head, start + size, path)
+        found = Box(kind, start + head, start + size, path, start)
         yield found
+        todo.append((found.end, end, path))
         if kind in NESTED:
-            yield from walk(data, found.start, found.end, (*path, kind))
-        start += size
+            if len(path) >= DEPTH:
+                raise ValueError(f"boxes at {start} nest too deep")
+            todo.append((found.start, found.end, (*path, kind)))
 
 
 def _array(data: bytes, at: int, n: int, kind: str, end: int) -> np.ndarray:
@@ -133,12 +141,16 @@ def _samples(data: bytes, t: dict[bytes, Box]) -> tuple[np.ndarray, np.ndarray,
     fixed, n = struct.unpack_from(">II", data, b.start + 4)
     if b.kind == b"stz2":
         width = fixed & 255
+        if width not in (4, 8, 16):
+            raise ValueError(f"sample sizes of {width} bits")
         if width == 4:
             pairs = _array(data, b.start + 12, (n + 1) // 2, ">u1", b.end)
             sizes = np.stack((pairs >> 4, pairs & 15), axis=1).reshape(-1)[:n].astype(np.int64)
         else:
             sizes = _array(data, b.start + 12, n, f">u{width // 8}", b.end).astype(np.int64)
     else:
+        if fixed and n * fixed > len(data):
+            raise ValueError(f"{n} samples of {fixed} bytes don't fit")
         sizes = np.full(n, fixed, np.int64) if fixed else _array(data, b.start + 12, n, ">u4", b.end).astype(np.int64)
     b = t[b"co64"] if b"co64" in t else t[b"stco"]
     (chunks,) = struct.unpack_from(">I", data, b.start + 4)
@@ -155,8 +167,7 @@ def _samples(data: bytes, t: dict[bytes, Box]) -> tuple[np.ndarray, np.ndarray,
     first = np.cumsum(counts) - counts
     some = counts > 0
     starts = np.repeat(places[: len(counts)][some] - before[first[some]], counts[some]) + before if n else before
-    if n and int((starts + sizes).max()) > len(data):
-        raise ValueError("samples lie beyond the end")
+    _inside(data, starts, sizes)
     if b"stss" in t:
         b = t[b"stss"]
         (keys,) = struct.unpack_from(">I", data, b.start + 4)
@@ -168,23 +179,94 @@ def _samples(data: bytes, t: dict[bytes, Box]) -> tuple[np.ndarray, np.ndarray,
     return starts, sizes, keys
 
 
+def _inside(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> None:
+    if len(starts) and (int(starts.min()) < 0 or int(starts.max()) > len(data) or int((starts + sizes).max()) > len(data)):
+        raise ValueError("samples lie beyond the file")
+
+
+def _fields(data: bytes, b: Box, flags: int, wanted: tuple[tuple[int, str], ...], at: int) -> tuple[list[int | None], int]:
+    """The optional fields of a box that its flags say are there, and where they end."""
+    out: list[int | None] = []
+    for bit, kind in wanted:
+        if not flags & bit:
+            out.append(None)
+            continue
+        size = struct.calcsize(kind)
+        if at + size > b.end:
+            raise ValueError(f"box {b.kind!r} is cut short")
+        out.append(struct.unpack_from(kind, data, at)[0])
+        at += size
+    return out, at
+
+
+class _Fragments:
+    """Samples of movie fragments: where they start, their sizes, which are keyframes, and how long they last, by track id."""
+
+    def __init__(self, data: bytes):
+        self.data, self.defaults = data, {}
+        self.found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]] = {}
+
+    def trex(self, b: Box) -> None:
+        track, _, *rest = struct.unpack_from(">5I", self.data, b.start + 4)
+        self.defaults[track] = rest
+
+    def moof(self, b: Box) -> None:
+        self.base = self.next = b.at
+
+    def tfhd(self, b: Box) -> None:
+        flags, self.track = struct.unpack_from(">II", self.data, b.start)
+        (base, _, *own), _ = _fields(self.data, b, flags, ((1, ">Q"), (2, ">I"), (8, ">I"), (16, ">I"), (32, ">I")), b.start + 8)
+        self.default = [y if x is None else x for x, y in zip(own, self.defaults.get(self.track, [0, 0, 0]), strict=True)]
+        self.at = base if base is not None else self.base if flags & 0x20000 else self.next
+        self.from_ = self.at
+        self.found.setdefault(self.track, [])
+
+    def trun(self, b: Box) -> None:
+        flags, n = struct.unpack_from(">II", self.data, b.start)
+        (shift, first), at = _fields(self.data, b, flags, ((1, ">i"), (4, ">I")), b.start + 8)
+        bits = [k for k in (0x100, 0x200, 0x400, 0x800) if flags & k]
+        if not bits and n * max(1, self.default[1]) > len(self.data):
+            raise ValueError(f"{n} samples of a run don't fit")
+        table = _array(self.data, at, n * len(bits), ">u4", b.end).astype(np.int64).reshape(n, len(bits))
+        last, size, sync = (table[:, bits.index(k)] if k in bits else np.full(n, d, np.int64) for k, d in zip((0x100, 0x200, 0x400), self.default, strict=True))
+        if first is not None and n:
+            sync = np.append(first, sync[1:])
+        begin = self.at if shift is None else self.from_ + shift
+        starts = begin + np.cumsum(size) - size
+        _inside(self.data, starts, size)
+        self.at = self.next = begin + int(size.sum())
+        self.found[self.track].append((starts, size, sync & 0x10000 == 0, int(last.sum())))
+
+
 def tracks(data: bytes) -> list[Track]:
     """The tracks of a file; ValueError if it is damaged or has no sample table."""
     try:
         groups: list[dict[bytes, Box]] = []
+        more = _Fragments(data)
         for b in walk(data):
             if b.kind == b"trak":
                 groups.append({})
             elif b.path[:2] == (b"moov", b"trak"):
                 groups[-1].setdefault(b.kind, b)
+            elif b.kind == b"moof":
+                more.moof(b)
+            elif (b.kind, b.path[-1:]) in ((b"trex", (b"mvex",)), (b"tfhd", (b"traf",)), (b"trun", (b"traf",))):
+                getattr(more, b.kind.decode())(b)
         out = []
         for t in groups:
             at = t[b"mdhd"].start
             scale, duration = struct.unpack_from(">IQ" if data[at] else ">II", data, at + (20 if data[at] else 12))
             codec = data[t[b"stsd"].start + 12 : t[b"stsd"].start + 16].decode("latin-1")
             handler = data[t[b"hdlr"].start + 8 : t[b"hdlr"].start + 12].decode("latin-1")
-            out.append(Track(codec, handler, scale, duration, *_samples(data, t)))
-    except (KeyError, struct.error, IndexError) as e:
+            starts, sizes, keys = _samples(data, t)
+            at = t[b"tkhd"].start
+            for begin, size, sync, last in more.found.pop(struct.unpack_from(">I", data, at + (20 if data[at] else 12))[0], ()) if more.found else ():
+                keys = np.append(keys, np.flatnonzero(sync) + len(starts))
+                starts, sizes, duration = np.append(starts, begin), np.append(sizes, size), duration + last
+            out.append(Track(codec, handler, scale, duration, starts, sizes, keys))
+        if more.found:
+            raise ValueError("fragments of a track that isn't there")
+    except (KeyError, struct.error, IndexError, AttributeError, TypeError, OverflowError) as e:
         raise ValueError(f"a box is missing or cut short: {e}") from e
     if not out:
         raise ValueError("no track")

@@ -4,8 +4,9 @@ Documents are tokenised where they lie; a task packs what it has gathered whenev
 its end), so memory is bounded and nothing is shuffled. Whole capacities are first cut off a document's front, one full
 sequence each. The remainders go to the least number of windows that could hold them: each starts as a partition of
 its own, and the two partitions with the largest spreads are merged again and again, the one's heavy windows with the
-other's light ones, until one partition is left, of near-equal windows. While its largest window exceeds the capacity the
-window count rises, up to one in ``slack`` more; what then still stands over the edge is cut off and fills the windows with room.
+other's light ones, until one partition is left, of near-equal windows. The window count rises as long as any window exceeds
+the capacity. Only then, if more than ``spare`` of the tokens would be padding, the lightest windows are taken apart again:
+their documents, and no others, are cut to fill the room of the rest.
 
 Null text: empty, its end id alone. Repeated rows are packed once each. Other columns are ignored. Sequence ids are unique
 (task number, then a counter); padding is what a window lacks to the capacity.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from . import base
 from .encode import encoder
 
-CAPACITY, END, HOLD, SLACK = 4096, 2, 1 << 21, 200
+CAPACITY, END, HOLD, SPARE = 4096, 2, 1 << 21, 0.005
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -81,44 +82,49 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def windows(sizes: np.ndarray, capacity: int = CAPACITY, slack: int = SLACK) -> list[list[tuple[int, int, int]]]:
+def balanced(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """The window of each size, and how many there are: as many as differencing needs to keep every one within the capacity."""
+    k = max(1, -(-int(sizes.sum()) // capacity))
+    while True:
+        of = differencing(sizes, k)
+        most = int(np.bincount(of, sizes, k).max())
+        if most <= capacity:
+            return of, k
+        k = max(k + 1 + k // 128, k * most // capacity)
+
+
+def windows(sizes: np.ndarray, capacity: int = CAPACITY, spare: float = SPARE) -> list[list[tuple[int, int, int]]]:
     """Each window's pieces (item, start, length); every size below the capacity."""
     sizes = np.asarray(sizes, np.int64)
     total = int(sizes.sum())
     if not total:
         return []
-    least = k = -(-total // capacity)
-    while True:
-        of = differencing(sizes, k)
-        if np.bincount(of, sizes, k).max() <= capacity or k >= least + least // slack:
-            break
-        k += max(1, least // slack // 4)
+    of, k = balanced(sizes, capacity)
+    loads = np.bincount(of, sizes, k).astype(np.int64)
+    stay = max(-(-total // capacity), int((1 + spare) * total / capacity))
+    order = np.argsort(loads, kind="stable")
+    apart = np.zeros(k, bool)
+    apart[order[: max(0, k - stay)]] = True
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
-    loads, over = np.zeros(k, np.int64), []
     for item in np.argsort(of, kind="stable").tolist():
-        w, size = int(of[item]), int(sizes[item])
-        fits = min(size, capacity - int(loads[w]))
-        if fits:
-            out[w].append((item, 0, fits))
-            loads[w] += fits
-        if fits < size:
-            over.append((item, fits, size - fits))
-    roomy = iter(np.argsort(loads, kind="stable").tolist())
-    w = next(roomy, None) if over else None
-    for item, start, size in over:
-        while size:
-            room = capacity - int(loads[w])
-            if not room:
+        if not apart[of[item]]:
+            out[of[item]].append((item, 0, int(sizes[item])))
+    roomy = iter(order[apart.sum() :].tolist())  # most room first, so that pieces are long
+    w = next(roomy, None)
+    for item in np.flatnonzero(apart[of]).tolist():
+        start = 0
+        while start < sizes[item]:
+            part = min(int(sizes[item]) - start, capacity - int(loads[w]))
+            if not part:
                 w = next(roomy)
                 continue
-            part = min(size, room)
             out[w].append((item, start, part))
             loads[w] += part
-            start, size = start + part, size - part
+            start += part
     return [w for w in out if w]
 
 
-def _pack_kernel(path: str, end: int, capacity: int, hold: int, slack: int):
+def _pack_kernel(path: str, end: int, capacity: int, hold: int, spare: float):
     stop = int(end).to_bytes(4, "little")
 
     def packed(docs: list[tuple[int, bytes]], sequence: int):
@@ -135,7 +141,7 @@ def _pack_kernel(path: str, end: int, capacity: int, hold: int, slack: int):
                 sequence += 1
             rests.append((doc, ids, n - n % capacity, n % capacity))
         rests = [x for x in rests if x[3]]
-        for window in windows(np.array([x[3] for x in rests], np.int64), capacity, slack):
+        for window in windows(np.array([x[3] for x in rests], np.int64), capacity, spare):
             offset = 0
             for item, start, length in window:
                 doc, ids, begins, _ = rests[item]
@@ -163,6 +169,6 @@ def _pack_kernel(path: str, end: int, capacity: int, hold: int, slack: int):
     return kernel
 
 
-def pack(docs: DataFrame, path: str, end: int = END, capacity: int = CAPACITY, hold: int = HOLD, slack: int = SLACK) -> DataFrame:
+def pack(docs: DataFrame, path: str, end: int = END, capacity: int = CAPACITY, hold: int = HOLD, spare: float = SPARE) -> DataFrame:
     """One row per piece: the document, where the piece starts in its ids and how long it is, its checksum, and its place."""
-    return base.mapped(base.columns_only(docs, {"doc_id": "long", "text": "string"}), _pack_kernel(path, end, capacity, hold, slack), SCHEMA)
+    return base.mapped(base.columns_only(docs, {"doc_id": "long", "text": "string"}), _pack_kernel(path, end, capacity, hold, spare), SCHEMA)

@@ -108,6 +108,22 @@ def test_windows_hold_everything_once(sizes):
         assert at == size
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_count_rises_until_nothing_is_over(seed):
+    r = np.random.default_rng(seed)
+    sizes = np.minimum(4095, r.lognormal(6.3, 0.9, 1500).astype(np.int64) + 1)
+    of, k = packing.balanced(sizes)
+    assert np.bincount(of, sizes, k).max() <= 4096 and k >= -(-sizes.sum() // 4096)
+    whole = packing.windows(sizes, spare=1.0)  # nothing is taken apart
+    assert len(whole) == k and sum(map(len, whole)) == len(sizes)
+    found = packing.windows(sizes)
+    assert 4096 * len(found) / sizes.sum() - 1 < 0.01 and max(sum(n for *_, n in w) for w in found) <= 4096
+    pieces = np.bincount([item for w in found for item, *_ in w])
+    assert (pieces > 1).sum() < 0.03 * len(sizes)  # few documents are cut
+    over = packing.windows(np.full(50, 2049))
+    assert len(over) < 50 and all(sum(n for *_, n in w) <= 4096 for w in over) and packing.balanced(np.full(50, 2049))[1] == 50
+
+
 def test_differencing_balances():
     r = np.random.default_rng(3)
     sizes = r.integers(1, 4000, 500)
@@ -170,6 +186,62 @@ def test_damaged_media(spark):
     assert rows[2].tracks is None and rows[2].error and rows[3].tracks is None and rows[3].error is None and rows[4].error
 
 
+def test_lying_headers(spark):
+    data = media.mux(media.padded(b"q" * 1900))
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    at = data.index(b"stsz")
+    cases = [deep, *(data[: at + 12] + n.to_bytes(4, "big") + data[at + 16 :] for n in (1 << 26, (1 << 32) - 1)), data[:at] + b"stz2" + bytes(8) + (10).to_bytes(4, "big") + data[at + 16 :]]
+    for case in cases:
+        with pytest.raises(ValueError, match="deep|fit|bits"):
+            media.tracks(case)
+    rows = media.describe(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(cases)], "id int, media binary")).collect()
+    assert all(r.tracks is None and r.error for r in rows) and len(rows) == len(cases)
+
+
+def test_damaged_bytes_never_break_a_job():
+    data, r = media.mux(media.padded(b"q" * 1900)), np.random.default_rng(0)
+    for _ in range(3000):
+        bad = bytearray(data)
+        for at in r.integers(0, 700, int(r.integers(1, 6))):
+            bad[at] = r.integers(256)
+        try:
+            for t in media.tracks(bytes(bad)):
+                assert all(0 <= a <= z <= len(data) for a, z in media.keyframes(t))
+        except ValueError:
+            pass
+
+
+def word(*values):
+    return b"".join(v.to_bytes(4, "big") for v in values)
+
+
+def fragmented(runs, flags=0x20000, end=b""):
+    """A file whose samples are in fragments; and the range of each fragment's first sample."""
+    entry = media.full(b"stsd", 0, 0, word(1), media.box(b"raw ", bytes(28)))
+    table = media.box(b"stbl", entry, media.full(b"stsc", 0, 0, word(0)), media.full(b"stsz", 0, 0, word(0, 0)), media.full(b"stco", 0, 0, word(0)))
+    mdia = media.box(b"mdia", media.full(b"mdhd", 0, 0, word(0, 0, 1000, 0, 0)), media.full(b"hdlr", 0, 0, word(0), b"vide", bytes(13)), media.box(b"minf", table))
+    track = media.box(b"trak", media.full(b"tkhd", 0, 7, word(0, 0, 7, 0, 0)), mdia)
+    out = media.box(b"ftyp", b"isom") + media.box(b"moov", track, media.box(b"mvex", media.full(b"trex", 0, 0, word(7, 1, 40, 5, 0x10000))))
+    keys = []
+    for sizes in runs:
+        make = lambda shift: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", 0, flags, word(7)), media.full(b"trun", 0, 0x205, word(len(sizes), shift, 0, *sizes))))  # noqa: B023, E731
+        at = len(out) + len(make(0)) + 8
+        keys.append((at, at + sizes[0]))
+        out += make(len(make(0)) + 8) + media.box(b"mdat", bytes(sum(sizes)))
+    return out + end, keys
+
+
+def test_fragments():
+    data, keys = fragmented([[3, 4, 5], [9], [2, 2]])
+    (track,) = media.tracks(data)
+    assert media.keyframes(track) == keys and track.duration == 6 * 40 and track.sizes.tolist() == [3, 4, 5, 9, 2, 2]
+    for bad in (data[:-3], data.replace(b"tfhd" + word(0x20000, 7), b"tfhd" + word(0x20000, 8)), data.replace(word(0x205, 3), word(0x205, 1 << 30))):
+        with pytest.raises(ValueError):
+            media.tracks(bad)
+
+
 # --- token store ------------------------------------------------------------------------------------------------------
 
 
