@@ -1,11 +1,17 @@
 """Near-duplicates by the similarity of their texts: sets of five-word shingles with a Jaccard similarity of at least 0.8.
 
-All such pairs are found, none by chance. Texts with the same set are one class. The shingles of a set are put in one order for all,
-those of a sample's most frequent last; two sets as similar as wanted share one of their first n - ceil(0.8 n) + 1
-(prefix filtering), and the sizes and the places of the first that they share bound what they can have in common. Rows of
-these first shingles meet by sorting. Classes of a shingle are first compared with their neighbour in size and with the
-smallest only, which joins large groups of near copies by a few links a member; what is not in one component then is compared
-pair by pair. Candidates are verified on whole sets of 64-bit hashes.
+Texts with the same set are one class. Candidates come from two sides, and all are verified on whole sets of 64-bit hashes:
+
+1. the Golay keys of ``simhash``: each class has a SimHash fingerprint of its shingles, and classes whose fingerprints are equal or
+   linked are candidates. Three bits are much less than a similarity of 0.8 leaves equal (ten bits differ on average), so
+   the keys find close copies only, and no number of keys would find all pairs;
+2. so what they miss is completed exactly, by prefix filtering. The shingles of a set are put in one order for all, those of a
+   sample's most frequent last; two sets as similar as wanted share one of their first n - ceil(0.8 n) + 1, and the sizes
+   and the places of the first that they share bound what they can have in common. Rows of these first shingles meet by sorting.
+
+Classes of a shingle are first compared with their neighbour in size and with the smallest only, which joins, together with the
+Golay links, large groups of near copies by a few links a member; what is not in one component then is compared pair by pair, in the
+task that has the shingle: a bitmap of each set bounds what two have in common, and only pairs that this leaves are given out.
 
 Words are lower-cased (ASCII). Fewer than five words: the whole sequence is the shingle. Null, empty: one class of its own.
 """
@@ -18,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .simhash import components, survivors
+from .simhash import components, links, survivors
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: The sample that tells frequent shingles, and how many there are at most: they decide about the order, not about the result.
 SAMPLE, FREQUENT = 8000, 1 << 16
 #: Bits of the map of texts to be compared.
 SLOTS = 1 << 24
+#: Bits of the map of a set.
+BITS = 1024
 _U = np.uint64
 _EPS = 1e-9
 
@@ -44,6 +52,42 @@ def _sets(rows: list[bytes | None], shingle: int) -> tuple[np.ndarray, np.ndarra
     return row[new], grams[new]
 
 
+_LANES = np.array([sum((b >> k & 1) << (8 * k) for k in range(8)) for b in range(256)], _U)
+
+
+def fingerprints(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The SimHash of each row's set: a bit is set where more than half of the hashes have it; zero for an empty set."""
+    fp = np.zeros(len(size), _U)
+    some = np.flatnonzero(size)
+    if not len(some):
+        return fp
+    size = size[some]
+    begin = np.cumsum(size) - size
+    blocks = -(-size // 255)  # a lane of eight bits counts to 255
+    cut = np.repeat(begin, blocks) + 255 * base.ranges(np.zeros(len(blocks), np.int64), blocks)
+    lanes = np.add.reduceat(_LANES[grams.astype("<u8").view(np.uint8).reshape(-1, 8)], cut, axis=0).astype("<u8").view(np.uint8).reshape(-1, 64)
+    counts = np.add.reduceat(lanes.astype(np.int64), np.cumsum(blocks) - blocks, axis=0)
+    fp[some] = np.packbits(2 * counts > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return fp
+
+
+def bitmaps(row: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
+    """Of each row's set a map with a bit for every hash, as 64-bit words."""
+    bits = np.zeros((rows, BITS), bool)
+    bits[row, (grams & _U(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+
+
+def most_common(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many hashes two sets can share at most: what one map has beyond the other stands for as many hashes or more."""
+    out = np.empty(len(i), np.int64)
+    for k in range(0, len(i), 1 << 14):
+        a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        x, y = bits[a], bits[b]
+        out[k : k + len(a)] = np.minimum(n[a] - np.bitwise_count(x & ~y).sum(axis=1), n[b] - np.bitwise_count(y & ~x).sum(axis=1))
+    return out
+
+
 def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.where(n > 0, n - np.ceil(similarity * n - _EPS).astype(np.int64) + 1, 0)
 
@@ -77,6 +121,7 @@ def _shingle_kernel(shingle: int, similarity: float, frequent: np.ndarray):
             size = np.bincount(row, minlength=batch.num_rows)
             sums = np.zeros(batch.num_rows, _U)
             np.add.at(sums, row, base.mix(grams))
+            fp, bits = fingerprints(grams, size), bitmaps(row, grams, batch.num_rows)
             late = np.zeros(len(grams), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -84,7 +129,7 @@ def _shingle_kernel(shingle: int, similarity: float, frequent: np.ndarray):
             grams = grams[np.lexsort((grams, late, row))]
             keep, begin = prefix_length(size, similarity), np.cumsum(size) - size
             firsts = [grams[b : b + k].tobytes() for b, k in zip(begin.tolist(), keep.tolist(), strict=True)]
-            yield _batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "cls": base.mix(sums + size.astype(_U)).view(np.int64), "n": size, "firsts": pa.array(firsts, pa.binary())})
+            yield _batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "cls": base.mix(sums + size.astype(_U)).view(np.int64), "n": size, "fp": fp.view(np.int64), "bits": pa.array([b.tobytes() for b in bits], pa.binary()), "firsts": pa.array(firsts, pa.binary())})
 
     return kernel
 
@@ -101,7 +146,7 @@ def _groups(batches, columns):
     """Arrays of whole groups: rows come sorted by key, and a group may go on in the next batch."""
     held = None
     for batch in batches:
-        now = [batch.column(c).to_numpy() for c in columns]
+        now = [np.frombuffer(b"".join(batch.column(c).to_pylist()), _U).reshape(batch.num_rows, -1) if c == "bits" else batch.column(c).to_numpy() for c in columns]
         if held is not None:
             now = [np.concatenate((h, x)) for h, x in zip(held, now, strict=True)]
         key = now[0]
@@ -154,7 +199,7 @@ def _few_kernel(similarity):
 
 def _rest_kernel(similarity):
     def kernel(batches):
-        for key, cls, n, pos, root in _groups(batches, ("key", "cls", "n", "pos", "root")):
+        for key, cls, n, pos, root, bits in _groups(batches, ("key", "cls", "n", "pos", "root", "bits")):
             i, lag = np.arange(len(key)), 1
             while True:
                 i = i[i + lag < len(key)]
@@ -164,6 +209,7 @@ def _rest_kernel(similarity):
                     break
                 j = i + lag
                 ok = (root[i] != root[j]) & _possible(n, pos, i, j, similarity)
+                ok[ok] = most_common(n, bits, i[ok], j[ok]) * (1 + similarity) >= similarity * (n[i[ok]] + n[j[ok]]) * (1 - _EPS)
                 if ok.any():
                     yield _pairs(cls, i[ok], j[ok])
                 lag += 1
@@ -211,30 +257,44 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: in
     return found
 
 
+def _golay_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes with equal fingerprints, or with fingerprints linked by Golay keys, as many as join them."""
+    least = base.written(classes.groupBy("fp").agg(F.min("cls").alias("least")), "prints")
+    same = classes.join(least, "fp").where("cls != least").select(F.col("least").alias("a"), F.col("cls").alias("b"))
+    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"of_{x}")) for x in "ab"]
+    near = links(least).join(ends[0], "a").join(ends[1], "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    return same.unionByName(near).distinct()
+
+
 def roots(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, root) of every row: the component it is in; h is a hash of its text."""
     rows = base.columns_only(docs, {"doc_id": "long", "text": "string"}).withColumn("h", F.xxhash64("text"))
-    schema = "doc_id long, h long, cls long, n long, firsts binary"
+    schema = "doc_id long, h long, cls long, n long, fp long, bits binary, firsts binary"
     marks = base.written(base.mapped(rows, _shingle_kernel(shingle, similarity, _frequent(rows, shingle)), schema), "shingles")
-    first = marks.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    first = marks.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("firsts").alias("firsts"))
     full = base.written(first, "classes")
+    golay = base.written(_golay_pairs(full), "golay")
     keyed = "key long, cls long, n long, pos long"
 
     def dealt(table, kernel, out):
         return base.mapped(table.repartition("key").sortWithinPartitions("key", "n", "cls"), kernel, out)
 
     shared = base.written(dealt(base.mapped(full.select("cls", "n", "firsts"), _spread, keyed), _shared, keyed), "shared")
+    maps = base.written(full.select("cls", "bits"), "maps")
     heavy, marks = marks, base.written(marks.select("doc_id", "h", "cls"), "marks")
     for table in (heavy, full):
         base.dropped(docs.sparkSession, table)
     classes = marks.groupBy("cls").agg(F.min("h").alias("h"))
-    few = base.written(dealt(shared, _few_kernel(similarity), "a long, b long").distinct(), "pairs")
-    links = _verified(few, rows, classes, shingle, similarity)
-    known = base.written(components(links), "known")
+    few = base.written(dealt(shared, _few_kernel(similarity), "a long, b long").unionByName(golay).distinct(), "pairs")
+    linked = _verified(few, rows, classes, shingle, similarity)
+    known = base.written(components(linked), "known")
     named = shared.join(known, shared.cls == known.node, "left").select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("root"))
+    named = base.written(named, "named")
+    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    named = named.join(base.written(apart, "apart"), "key").join(maps, "cls")
     rest = dealt(named, _rest_kernel(similarity), "a long, b long").distinct().join(few, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(base.written(rest, "pairs"), rows, classes, shingle, similarity))
-    known = base.written(components(links), "known")
+    linked = linked.unionByName(_verified(base.written(rest, "pairs"), rows, classes, shingle, similarity))
+    known = base.written(components(linked), "known")
     return marks.select("doc_id", "h", "cls").join(known, F.col("cls") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "cls").alias("root"))
 
 

@@ -7,7 +7,9 @@ is decoded by the perfect binary Golay code: a vector within one bit of another
 other one's neighbours decode to, five on average. So for each two segments a fingerprint gives, in a left role, (its
 codeword, its neighbours' codewords) and, in a right role, the reverse; of linked fingerprints one's left key is the
 other's right key. Keys are joined by sorting, candidates verified on all 64 bits, and links reduced to a forest in
-each task. A key with over ``limit`` rows is not compared pair by pair: its members are filed again under 13 equal
+each task. A key with over ``limit`` rows is not compared pair by pair: its rows are filed again, each under the key with
+one of four quarters of the fingerprint (three errors leave one quarter equal), four rows for one and groups some
+hundreds of times smaller. Only what is over the limit even then, fingerprints that crowd together, is filed under 13 equal
 nibbles of 16 (three errors spoil three at most), where no key can have over 4,096 fingerprints.
 
 Components come from large-star and small-star rounds, each written to the shared folder.
@@ -118,6 +120,16 @@ def nibble_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(key), np.full(560 * len(fps), 3, np.int8)
 
 
+def _quarter_kernel(batches):
+    """Rows of a large key again, under the key and a quarter."""
+    for batch in batches:
+        key, fp, role = (batch.column(c).to_numpy() for c in ("key", "fp", "role"))
+        for k in range(4):
+            quarter = (fp.view(_U) >> _U(16 * k)) & _U(0xFFFF)
+            again = base.mix(base.mix(key.view(_U) + _U(k << 60)) + quarter)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (again.view(np.int64), fp, role)], ["key", "fp", "role"])
+
+
 def _key_kernel(keys, rows: int = 4096):
     def kernel(batches):
         for batch in batches:
@@ -130,10 +142,11 @@ def _key_kernel(keys, rows: int = 4096):
 
 
 class _Forest:
-    """Union-find over what one task has seen; says which links are news."""
+    """Union-find over what one task has seen; says which links are news. Forgetting costs no more than some links twice."""
 
-    def __init__(self):
+    def __init__(self, most: int = 1 << 19):
         self.up: dict[int, int] = {}
+        self.most = most
 
     def root(self, x: int) -> int:
         up = self.up
@@ -144,6 +157,8 @@ class _Forest:
 
     def news(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         out = []
+        if len(self.up) > self.most:
+            self.up.clear()
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             p, q = self.root(x), self.root(y)
             if p != q:
@@ -153,7 +168,7 @@ class _Forest:
 
 
 def _link_kernel(bits: int, limit: int | None):
-    """Rows come sorted by key. Gives (0, a, b) for links that join what this task has not yet joined, (1, fp, fp) for rows of too large keys."""
+    """Rows come sorted by key. Gives (0, a, b) for links that join what this task has not yet joined, (role, key, fp) for rows of too large keys."""
     cols = ["key", "fp", "role"]
 
     def kernel(batches):
@@ -161,7 +176,7 @@ def _link_kernel(bits: int, limit: int | None):
         held, hot = [np.zeros(0, t) for t in (np.int64, np.int64, np.int8)], None
 
         def out(kind, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["kind", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.int32(kind), len(a)).astype(np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64))], ["kind", "a", "b"])
 
         def links(key, fp, role):
             bit = fp.view(_U)
@@ -189,7 +204,7 @@ def _link_kernel(bits: int, limit: int | None):
             over |= now[0][start] == hot if hot is not None else False
             if over.any():
                 rows = np.repeat(over, size)
-                yield out(1, now[1][rows], now[1][rows])
+                yield out(now[2][rows], now[0][rows], now[1][rows])
                 hot = now[0][-1] if over[-1] else None
             done = np.repeat(~over, size)
             last = start[-1]
@@ -211,9 +226,20 @@ def links(classes: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame
         raise ValueError("the segments allow for three differing bits")
     keyed = "key long, fp long, role byte"
     found = base.written(_compared(base.mapped(classes.select("fp"), _key_kernel(golay_keys), keyed), bits, limit), "links")
-    large = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
-    again = _compared(base.mapped(large, _key_kernel(nibble_keys, 64), keyed), bits, None)
-    return found.unionByName(again).where("kind = 0").select("a", "b")
+    large = found.where("kind > 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("kind").cast("byte").alias("role"))
+    again = base.written(_compared(base.mapped(large, _quarter_kernel, keyed), bits, limit), "links")
+    crowd = again.where("kind > 0").select(F.col("b").alias("fp")).distinct()
+    last = _compared(base.mapped(crowd, _key_kernel(nibble_keys, 64), keyed), bits, None)
+    return found.unionByName(again).unionByName(last).where("kind = 0").select("a", "b")
+
+
+def _forest_kernel(batches):
+    """Of a task's links those that join what its others haven't joined."""
+    forest = _Forest()
+    for batch in batches:
+        if news := forest.news(batch.column("u").to_numpy(), batch.column("v").to_numpy()):
+            a, b = zip(*news, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(a, pa.int64())], ["u", "v"])
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -222,7 +248,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def sign(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    now = base.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
+    def kept(df, links):
+        # a round makes at most twice as many links as there were; few links need few tasks
+        return base.written(df.coalesce(max(1, links // 20_000)) if links < 2_000_000 else df, "edges")
+
+    first = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+    now = base.written(base.mapped(first, _forest_kernel, "u long, v long").distinct(), "edges")
     was = sign(now)
     for _ in range(rounds):
         if not was[0]:
@@ -230,10 +261,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = base.written(large, "edges")
+        large = kept(large, was[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = base.written(small, "edges")
+        new = kept(small, was[0])
         base.dropped(edges.sparkSession, large)
         base.dropped(edges.sparkSession, now)
         now, before, was = new, was, sign(new)

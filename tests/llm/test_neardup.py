@@ -67,3 +67,36 @@ def test_repeated_and_null_ids_lose_no_group(spark, module):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(map(tuple, module.representatives(docs).collect()), key=str)
     assert kept == sorted([(5, a), (5, b), (None, c), (9, d)], key=str)
+
+
+def test_maps_bound_what_sets_share():
+    r = np.random.default_rng(1)
+    sets = [r.choice(3000, int(r.integers(1, 900)), replace=False) for _ in range(30)]
+    hashes = [np.sort(base.mix(x.astype(np.uint64))) for x in sets]
+    row = np.repeat(np.arange(30), [len(x) for x in sets])
+    bits = neardup.bitmaps(row, np.concatenate(hashes), 30)
+    i, j = np.triu_indices(30, 1)
+    n = np.array([len(x) for x in sets])
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    assert (neardup.most_common(n, bits, i, j) >= common).all()
+
+
+def test_fingerprints_equal_brute_force():
+    r = np.random.default_rng(2)
+    sizes = [0, 1, 2, 254, 255, 256, 700, 0, 3]
+    grams = r.integers(0, 1 << 63, sum(sizes)).astype(np.uint64) * np.uint64(2)
+    at = np.cumsum([0, *sizes])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in grams[a:z]) > z - a) for a, z in zip(at[:-1], at[1:], strict=True)]
+    assert neardup.fingerprints(grams, np.array(sizes)).tolist() == want
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text, each with words of its own changed: pairs are compared, but only few are given out."""
+    r = np.random.default_rng(9)
+    center = [f"c{k}" for k in range(60)]
+    texts = [" ".join(f"x{i}" if k in edits else w for k, w in enumerate(center)) for i in range(250) for edits in [set(r.integers(0, 60, int(r.integers(0, 4))).tolist())]]
+    texts += [" ".join(f"y{r.integers(0, 10**6)}" if r.random() < 0.3 else w for w in center) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = groups(texts)
+    kept = sorted(x.doc_id for x in neardup.representatives(docs).collect())
+    assert kept == sorted({g: k for k, g in reversed(list(enumerate(want)))}.values())

@@ -91,6 +91,31 @@ def test_keys_of_linked_fingerprints_meet(keys):
         assert left & right
 
 
+def test_quarters_of_a_key():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        a = int(r.integers(0, 1 << 63))
+        b = a ^ sum(1 << int(k) for k in r.choice(64, 3, replace=False))
+        rows = pa.RecordBatch.from_arrays([pa.array([9, 9]), pa.array(np.array([a, b], np.uint64).view(np.int64)), pa.array([1, 2], pa.int8())], ["key", "fp", "role"])
+        again = [x for batch in simhash._quarter_kernel([rows]) for x in batch.to_pylist()]
+        keys = [{x["key"] for x in again if x["role"] == role} for role in (1, 2)]
+        assert keys[0] & keys[1] and len(again) == 8
+
+
+def test_large_keys_go_through_all_levels(spark):
+    """A crowd of fingerprints within a few bits of one: over any limit under Golay keys and under their quarters."""
+    r = np.random.default_rng(6)
+    center = int(r.integers(0, 1 << 62))
+    fps = sorted({center ^ sum(1 << int(b) for b in r.choice(62, int(r.integers(0, 4)), replace=False)) for _ in range(400)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    want = components([(k, f) for k, f in enumerate(fps)])
+    for limit in (2, 8, 50):
+        known = {x.node: x.component for x in simhash.components(simhash.links(df, limit=limit)).collect()}
+        assert [known.get(f, f) for f in fps] == [fps[k] for k in want]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in simhash.components(edges).collect()} == {1}
