@@ -1,36 +1,54 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are letters and digits of the lower-cased text. Documents and benchmark items that share a run of ``least`` words are
-candidates; what shared runs could cover of an item at most rules most of them out. For the others the longest common
-stretch of unmarked words is looked for with Karp-Rabin hashes and marked in both, again and again, until none of ``least``
-words is left; so an item is found in any order of its parts. A document is contaminated by an item if its tiles
-cover at least ``coverage`` of the item's words.
-
-The benchmark is the stated query set: its items go to the executors in blocks of at most ``block_mb`` MB of text, each block
-broadcast, and every document meets every block. No document is shuffled. Items of fewer than ``least`` words can't
-contaminate. Null and empty texts, and an empty benchmark, contaminate nothing; repeated rows and repeated items each give rows.
+Words are runs of letters and digits of the lower-cased text in any script; an ideograph or kana is a word of its own. A seed is a
+run of ``least`` words. Whatever covers ``coverage`` of an item with tiles of ``least`` words or more shares at least one of its
+``coverage`` x words / ``least`` most frequent seeds or of the others, so the most frequent ones but for one are left out, and
+
+1. documents give the places of all runs that the benchmark may have, told by a bitmap of bounded size (one narrow pass);
+2. these runs are joined to the items' seeds, which gives the pairs of document and item that have to be compared;
+3. documents and the items they were paired with meet sorted, one document's places being held at a time: the longest common stretch
+   of unmarked words is looked for with Karp-Rabin hashes and marked in both, again and again, until none of ``least`` words is
+   left; so an item is found in any order of its parts.
+
+A document is contaminated by an item if its tiles cover at least ``coverage`` of the item's words. Equal texts, of documents or of
+items, are compared once. Nothing is collected but the bitmap, and a broadcast of a table is Spark's choice by its size.
+
+Items of fewer than ``least`` words can't contaminate. Null and empty texts, and an empty benchmark, contaminate nothing; repeated
+rows and repeated items each give rows, and so do null ids.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
 
-LEAST, COVERAGE, BLOCK_MB = 5, 0.5, 32
+LEAST, COVERAGE = 5, 0.5
 SCHEMA = "doc_id long, item_id long, matched_words long, item_words long, coverage double, tiles long"
+#: Bits of the map of the benchmark's runs: 64 a run, within these bounds.
+FEWEST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 27
 _U = np.uint64
-#: Letters and digits are lower-cased by then; every byte of other scripts counts as one.
-_OUT = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(128)) + bytes(range(128, 256))
+_ASCII = bytes(b if chr(b).isalnum() else 32 for b in range(128)) + bytes(128)
+_OUT = re.compile(r"[\W_]+")
+_ALONE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 
 
 def folded(row: bytes | None) -> bytes:
-    return row.decode("utf-8", "replace").lower().encode().translate(_OUT) if row else b""
+    """The words, lower-cased, with spaces between."""
+    if not row:
+        return b""
+    if row.isascii():
+        return row.lower().translate(_ASCII)
+    text = _OUT.sub(" ", row.decode("utf-8", "replace").lower())
+    if _ALONE.search(text):
+        text = _ALONE.sub(r" \g<0> ", text)
+    return text.encode()
 
 
 def words_of(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,170 +57,235 @@ def words_of(rows: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return base.word_hashes(buf, s, e), first
 
 
-def _longest(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, least: int) -> tuple[int, int, int]:
-    """The longest common stretch of free words, the first in a and then in b: starts and length, 0 if below least.
-
-    Stretches of ``least`` words are compared by a rolling hash; those with equal hashes are grown word by word.
-    """
-    none = (0, 0, 0)
-    if len(a) < least or len(b) < least:
-        return none
-    x, y = base.Sequence(a), base.Sequence(b)
-    at_a, at_b = np.arange(len(a) - least + 1), np.arange(len(b) - least + 1)
-    run_a, run_b = np.append(0, np.cumsum(free_a)), np.append(0, np.cumsum(free_b))
-    at_a = at_a[run_a[at_a + least] - run_a[at_a] == least]
-    at_b = at_b[run_b[at_b + least] - run_b[at_b] == least]
-    ha, hb = x.span(at_a, at_a + least), y.span(at_b, at_b + least)
-    order = np.argsort(hb, kind="stable")
-    hb, at_b = hb[order], at_b[order]
-    lo, hi = np.searchsorted(hb, ha), np.searchsorted(hb, ha, "right")
-    best = none
-    step = max(1, (1 << 20) // max(1, int((hi - lo).max(initial=1))))
-    for k in range(0, len(at_a), step):  # a bounded number of pairs at a time
-        n = (hi - lo)[k : k + step]
-        i, j = np.repeat(at_a[k : k + step], n), at_b[base.ranges(lo[k : k + step], n)]
-        size = least
-        while len(i):
-            p, q = i + size, j + size
-            ok = (p < len(a)) & (q < len(b))
-            ok[ok] = (a[p[ok]] == b[q[ok]]) & free_a[p[ok]] & free_b[q[ok]]
-            if not ok.any():
-                break
-            i, j, size = i[ok], j[ok], size + 1
-        if len(i) and size > best[2]:
-            best = (int(i[0]), int(j[0]), size)
-    return best
+def runs_of(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, hash) of every run of ``least`` words."""
+    count = np.maximum(0, np.diff(first) - least + 1)
+    at, row = base.ranges(first[:-1], count), np.repeat(np.arange(len(count)), count)
+    return row, at - first[row], base.Sequence(words).span(at, at + least)
+
+
+class _Tiler:
+    """Stretches of ``least`` words that two texts share, hashed once, for looking for the longest one again and again."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, least: int):
+        self.a, self.b, self.least = a, b, least
+        at_a, at_b = (np.arange(max(0, len(x) - least + 1)) for x in (a, b))
+        ha, hb = base.Sequence(a).span(at_a, at_a + least), base.Sequence(b).span(at_b, at_b + least)
+        order = np.argsort(hb, kind="stable")
+        self.hb, self.at_b = hb[order], at_b[order]
+        lo, hi = np.searchsorted(self.hb, ha), np.searchsorted(self.hb, ha, "right")
+        self.at_a, self.ha = at_a[hi > lo], ha[hi > lo]
+
+    def longest(self, free_a: np.ndarray, free_b: np.ndarray) -> tuple[int, int, int]:
+        """The longest common stretch of free words, the first in a and then in b: starts and length, 0 if below least."""
+        a, b, least = self.a, self.b, self.least
+        best = (0, 0, 0)
+        run_a, run_b = np.append(0, np.cumsum(free_a)), np.append(0, np.cumsum(free_b))
+        ok = run_a[self.at_a + least] - run_a[self.at_a] == least
+        self.at_a, self.ha = self.at_a[ok], self.ha[ok]  # what is marked stays marked
+        ok = run_b[self.at_b + least] - run_b[self.at_b] == least
+        self.at_b, self.hb = self.at_b[ok], self.hb[ok]
+        lo, hi = np.searchsorted(self.hb, self.ha), np.searchsorted(self.hb, self.ha, "right")
+        step = max(1, (1 << 20) // max(1, int((hi - lo).max(initial=1))))
+        for k in range(0, len(self.at_a), step):  # a bounded number of pairs at a time
+            n = (hi - lo)[k : k + step]
+            i, j = np.repeat(self.at_a[k : k + step], n), self.at_b[base.ranges(lo[k : k + step], n)]
+            size = least
+            while len(i):
+                p, q = i + size, j + size
+                ok = (p < len(a)) & (q < len(b))
+                ok[ok] = (a[p[ok]] == b[q[ok]]) & free_a[p[ok]] & free_b[q[ok]]
+                if not ok.any():
+                    break
+                i, j, size = i[ok], j[ok], size + 1
+            if len(i) and size > best[2]:
+                best = (int(i[0]), int(j[0]), size)
+        return best
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in the item, start in the text, length), the longest first."""
-    free_a, free_b, out = np.ones(len(item), bool), np.ones(len(text), bool), []
+    tiler, out = _Tiler(item, text, least), []
+    free_a, free_b = np.ones(len(item), bool), np.ones(len(text), bool)
     while True:
-        i, j, n = _longest(item, text, free_a, free_b, least)
+        i, j, n = tiler.longest(free_a, free_b)
         if not n:
             return out
         free_a[i : i + n] = free_b[j : j + n] = False
         out.append((i, j, n))
 
 
-class _Items:
-    """A block of benchmark items, ready to be looked up by shared runs of words."""
-
-    def __init__(self, ids: list[int], texts: list[bytes], least: int):
-        words, first = words_of(texts)
-        self.ids, self.least = ids, least
-        self.words = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        grams, of, at = [], [], []
-        for k, w in enumerate(self.words):
-            if len(w) >= least:
-                i = np.arange(len(w) - least + 1)
-                grams.append(base.Sequence(w).span(i, i + least))
-                of.append(np.full(len(i), k))
-                at.append(i)
-        empty = np.zeros(0, np.int64)
-        grams, of, at = (np.concatenate(v) if v else empty for v in (grams, of, at))
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.of, self.at = grams[order].astype(_U), of[order], at[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(self.grams >> _U(42)).astype(np.int64)] = True
-
-    def candidates(self, words: np.ndarray, first: np.ndarray, coverage: float):
-        """(row, item) pairs whose shared runs could cover enough of the item."""
-        if len(words) < self.least or not len(self.grams):
-            return
-        i = np.arange(len(words) - self.least + 1)
-        grams = base.Sequence(words).span(i, i + self.least)
-        i = i[self.seen[(grams >> _U(42)).astype(np.int64)]]
-        row = np.searchsorted(first, i, "right") - 1
-        i, row = (v[i + self.least <= first[row + 1]] for v in (i, row))
-        grams = grams[i]
-        for r in np.unique(row):
-            own = np.unique(grams[row == r])
-            lo, hi = np.searchsorted(self.grams, own), np.searchsorted(self.grams, own, "right")
-            hit = base.ranges(lo, hi - lo)
-            for k in np.unique(self.of[hit]):
-                n = len(self.words[k])
-                step = np.zeros(n + 1, np.int64)
-                at = self.at[hit[self.of[hit] == k]]
-                step[at] += 1
-                step[at + self.least] -= 1
-                if (np.cumsum(step)[:-1] > 0).sum() >= coverage * n:
-                    yield int(r), int(k)
-
-
-_READY: dict[int, _Items] = {}
-
-
-def _matches(rows, shared, least: int, coverage: float):
-    """(row, item id, matched, item's words, tiles) for every contaminated row."""
-    if shared.id not in _READY:
-        _READY.clear()
-        _READY[shared.id] = _Items(*shared.value, least)
-    items = _READY[shared.id]
-    for a, b in base.chunks(rows):
-        words, first = words_of(rows[a:b])
-        for r, k in items.candidates(words, first, coverage):
-            found = tiles(items.words[k], words[first[r] : first[r + 1]], least)
-            matched, n = sum(x[2] for x in found), len(items.words[k])
-            if matched and matched >= coverage * n:
-                yield a + r, items.ids[k], matched, n, len(found)
-
-
-class _Shared:
-    """A broadcast block with a name that tells it from others in a process."""
-
-    def __init__(self, broadcast, number):
-        self.broadcast, self.id = broadcast, number
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
-def blocks(benchmark: DataFrame, block_mb: float = BLOCK_MB) -> list[_Shared]:
-    """The benchmark in broadcasts of bounded size. Items are dealt by a hash of their text, so a block is of about the same size as others."""
-    rows = base.columns_only(benchmark, {"item_id": "long", "text": "string"}).where("item_id is not null and text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // int(block_mb * (1 << 19))))  # half full on average: none is over in practice
-    out = []
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        value = ([r.item_id for r in part], [r.text.encode() for r in part])
-        shared = benchmark.sparkSession.sparkContext.broadcast(value)
-        out.append(_Shared(shared, f"{benchmark.sparkSession.sparkContext.applicationId}-{shared._jbroadcast.id()}"))
-    return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_mb: float = BLOCK_MB) -> DataFrame:
-    """One row per document and item that it contains."""
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
 
-    def kernel_of(shared):
-        def kernel(batches):
-            for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                out = [(ids[r], item, m, n, m / n, t) for r, item, m, n, t in _matches(base.byte_rows(batch, "text"), shared, least, coverage)]
-                if out:
-                    kinds = [pa.int64()] * 4 + [pa.float64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "matched_words", "item_words", "coverage", "tiles"])
 
-        return kernel
+def _binaries(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """One binary for each range of values between two cuts."""
+    return pa.array([values[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())
 
-    rows = base.columns_only(docs, {"doc_id": "long", "text": "string"})
-    return reduce(DataFrame.unionByName, [base.mapped(rows, kernel_of(s), SCHEMA) for s in blocks(benchmark, block_mb)])
 
+class Benchmark:
+    """A benchmark made ready: its rows and their texts' names, each text's words, its seeds, and the bitmap of all its runs."""
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_mb: float = BLOCK_MB) -> DataFrame:
-    """The documents, all their columns, that no item contaminates; nothing is shuffled or joined."""
+    def __init__(self, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE):
+        spark, self.least, self.coverage = benchmark.sparkSession, least, coverage
+        rows = base.columns_only(benchmark, {"item_id": "long", "text": "string"}).where("text is not null").withColumn("item", F.md5(F.col("text").cast("binary")))
+        self.rows = base.written(rows.select("item_id", "item"), "items")
 
-    def kernel_of(shared):
-        def kernel(batches):
+        def forms(batches):
             for batch in batches:
-                stays = np.ones(batch.num_rows, bool)
-                stays[[r for r, *_ in _matches(base.byte_rows(batch, "text"), shared, least, coverage)]] = False
-                yield batch.filter(pa.array(stays))
-
-        return kernel
+                words, first = words_of(base.byte_rows(batch, "text"))
+                yield _batch({"item": batch.column("item"), "words": _binaries(words, first), "n": np.diff(first)}).filter(pa.array(np.diff(first) >= least))
 
-    for shared in blocks(benchmark, block_mb):
-        docs = base.mapped(docs, kernel_of(shared), docs.schema)
-    return docs
+        def spread(batches):
+            for batch in batches:
+                words = [np.frombuffer(x, _U) for x in batch.column("words").to_pylist()]
+                first = np.append(0, np.cumsum([len(w) for w in words]))
+                row, at, run = runs_of(np.concatenate(words), first, least)
+                yield _batch({"item": batch.column("item").take(pa.array(row)), "n": batch.column("n").to_numpy()[row], "at": at, "run": run.view(np.int64)})
+
+        distinct = rows.dropDuplicates(["item"]).select("item", "text")
+        self.forms = base.written(base.mapped(distinct, forms, "item string, words binary, n long"), "forms")
+        runs = base.written(base.mapped(self.forms, spread, "item string, n long, at long, run long"), "runs")
+        often = runs.groupBy("run").agg(F.count("*").alias("often"))
+        # the rarest runs of an item, as many as leave too few others to cover enough of it
+        rank = F.row_number().over(Window.partitionBy("item").orderBy("often", "run", "at"))
+        spared = F.ceil(F.lit(coverage) * F.col("n") / least - F.lit(1e-9))
+        seeds = runs.join(often, "run").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - (least - 1) - spared + 1)
+        self.seeds = base.written(seeds.select("run", "item").distinct(), "seeds")
+        slots, many = FEWEST_SLOTS, 64 * runs.count()
+        while slots < min(many, MOST_SLOTS):
+            slots *= 2
+        shift = 64 - slots.bit_length() + 1
+        slot = F.shiftrightunsigned("run", shift)
+        words = runs.select(F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(63).cast("int").alias("bit")).distinct()
+        found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+        bits = np.zeros(slots >> 6, np.int64)
+        bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.map, self.shift = spark.sparkContext.broadcast(bits.view(_U)), shift
+        base.dropped(spark, runs)
+
+
+def _known(bitmap, shift: int):
+    """A test of runs: whether the benchmark may have each."""
+
+    def has(runs: np.ndarray) -> np.ndarray:
+        slot = runs >> _U(shift)
+        return (bitmap.value[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1) == 1
+
+    return has
+
+
+def _places_kernel(least: int, has):
+    """Of each row with a run of the benchmark's its name, and the places and hashes of these runs."""
+
+    def kernel(batches):
+        for batch in batches:
+            rows = base.byte_rows(batch, "text")
+            for a, b in base.chunks(rows):
+                row, at, run = runs_of(*words_of(rows[a:b]), least)
+                hit = np.flatnonzero(has(run))
+                if not len(hit):
+                    continue
+                row, at, run = row[hit], at[hit], run[hit]
+                some = np.unique(row)
+                cut = np.append(np.searchsorted(row, some), len(row))
+                part = batch.slice(a, b - a).select(["doc_id", "h"]).take(pa.array(some))
+                names = [hashlib.md5(rows[a + r]).hexdigest() for r in some.tolist()]
+                yield _batch({"doc_id": part.column("doc_id"), "h": part.column("h"), "doc": pa.array(names), "at": _binaries(at, cut), "runs": _binaries(run, cut)})
+
+    return kernel
+
+
+def _runs_kernel(batches):
+    """A row for each distinct run of a document."""
+    for batch in batches:
+        runs = [np.unique(np.frombuffer(x, np.int64)) for x in batch.column("runs").to_pylist()]
+        yield _batch({"doc": batch.column("doc").take(pa.array(np.repeat(np.arange(len(runs)), [len(x) for x in runs]))), "run": np.concatenate(runs)})
+
+
+class _Document:
+    """The places of one document's runs, sorted by run."""
+
+    def __init__(self, at: bytes, runs: bytes, least: int):
+        at, runs = np.frombuffer(at, np.int64), np.frombuffer(runs, _U)
+        order = np.argsort(runs, kind="stable")
+        self.runs, self.at, self.least = runs[order], at[order], least
+
+    def common(self, words: np.ndarray) -> np.ndarray:
+        """The document's words that stand in runs of the item's; what isn't next to each other in it is kept apart by other words."""
+        least, place = self.least, np.arange(len(words) - self.least + 1)
+        run = base.Sequence(words).span(place, place + least)
+        lo, hi = np.searchsorted(self.runs, run), np.searchsorted(self.runs, run, "right")
+        at, place = self.at[base.ranges(lo, hi - lo)], np.repeat(place, hi - lo)
+        at, some = np.unique(at, return_index=True)
+        at, place = (np.concatenate([x + k for k in range(least)]) for x in (at, place[some]))
+        at, some = np.unique(at, return_index=True)
+        if not len(at):
+            return np.zeros(0, _U)
+        gap = np.flatnonzero(np.diff(at) > 1) + 1
+        known = set(words.tolist())
+        apart = next(x for x in range(len(words) + 1) if x not in known)  # no word of the item
+        return np.insert(words[place[some]], gap, _U(apart))
+
+
+def _tile_kernel(least: int, coverage: float):
+    """Rows come sorted by document; a document's places stand before the items it is compared with."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+
+    def kernel(batches):
+        name = doc = None
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                if x["item"] is None:
+                    name, doc = x["doc"], _Document(x["a"], x["b"], least)
+                    continue
+                if x["doc"] != name:
+                    raise ValueError("an item without its document")
+                words = np.frombuffer(x["a"], _U)
+                found = tiles(words, doc.common(words), least)
+                matched = sum(n for *_, n in found)
+                if matched and matched >= coverage * len(words):
+                    out.append((name, x["item"], matched, len(words), len(found)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc", "item", "matched_words", "item_words", "tiles"])
+
+    return kernel
+
+
+def _matches(docs: DataFrame, items: Benchmark) -> tuple[DataFrame, DataFrame]:
+    """The rows that have a run of the benchmark's (doc_id, h, doc), and (doc, item, matched_words, item_words, tiles) of contaminated texts."""
+    rows = base.columns_only(docs, {"doc_id": "long", "text": "string"}).where("text is not null").withColumn("h", F.xxhash64("text"))
+    places = base.written(base.mapped(rows, _places_kernel(items.least, _known(items.map, items.shift)), "doc_id long, h long, doc string, at binary, runs binary"), "places")
+    once = base.written(places.groupBy("doc").agg(F.first("at").alias("at"), F.first("runs").alias("runs")), "texts")
+    runs = base.mapped(once.select("doc", "runs"), _runs_kernel, "doc string, run long")
+    pairs = base.written(runs.join(items.seeds, "run").select("doc", "item").distinct(), "pairs")
+    asked = pairs.join(items.forms, "item").select("doc", "item", F.col("words").alias("a"), F.lit(None).cast("binary").alias("b"))
+    held = once.join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", F.lit(None).cast("string").alias("item"), F.col("at").alias("a"), F.col("runs").alias("b"))
+    met = held.unionByName(asked).repartition("doc").sortWithinPartitions("doc", F.col("item").asc_nulls_first())
+    found = base.written(base.mapped(met, _tile_kernel(items.least, items.coverage), "doc string, item string, matched_words long, item_words long, tiles long"), "tiles")
+    marks = base.written(places.select("doc_id", "h", "doc"), "marks")
+    for table in (places, once, pairs):
+        base.dropped(docs.sparkSession, table)
+    return marks, found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """One row per document and item that it contains."""
+    items = Benchmark(benchmark, least, coverage)
+    marks, found = _matches(docs, items)
+    share = (F.col("matched_words") / F.col("item_words")).alias("coverage")
+    return marks.join(found, "doc").join(items.rows, "item").select("doc_id", "item_id", "matched_words", "item_words", share, "tiles")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """The documents, all their columns, that no item contaminates."""
+    marks, found = _matches(docs, Benchmark(benchmark, least, coverage))
+    bad = base.written(marks.join(found.select("doc").distinct(), "doc", "left_semi").select("h", "doc").distinct(), "bad")
+    taken = {c.lower() for c in docs.columns}
+    by, name = ([c for c in (f"{x}{'_' * k}" for k in range(len(taken) + 1)) if c not in taken][0] for x in ("by", "name"))
+    bad = bad.select(F.col("h").alias(by), F.col("doc").alias(name))
+    text = F.col("text").cast("string")
+    # the hash of eight bytes finds them, the digest decides
+    return docs.join(bad, (F.xxhash64(text) == F.col(by)) & (F.md5(text.cast("binary")) == F.col(name)), "left_anti")

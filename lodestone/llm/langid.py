@@ -6,7 +6,8 @@ each language in its trigrams. The set of languages is chosen by penalised likel
 one with the largest share joins as long as the log-likelihood gains more than ``penalty`` x log(trigrams). The
 prediction is the language with the largest share in the chosen mixture, the score its share.
 
-Training uses about ``per_language`` documents of each language, taken by a hash of their id: a documented bound.
+Training uses about ``per_language`` documents of each language, taken by a hash of their id, and learns the ``languages`` with the
+most documents, the first by name on ties: documented bounds.
 
 Null text or no letter: ``und``, score 0; so for every document if nothing was learned. Ties go to the name that sorts first.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-BUCKETS, PER_LANGUAGE, PENALTY, ROUNDS, SMOOTH = 1 << 16, 2000, 4.0, 12, 0.2
+BUCKETS, PER_LANGUAGE, LANGUAGES, PENALTY, ROUNDS, SMOOTH = 1 << 16, 2000, 200, 4.0, 12, 0.2
 NONE = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -69,13 +70,13 @@ class Model:
         self.langs, self.logp = langs, logp  # logp: buckets x languages
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, smooth: float = SMOOTH, folds: int = 4, held_out: int = 2) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, smooth: float = SMOOTH, folds: int = 4, held_out: int = 2) -> Model:
     """What goes to the driver is one count per language and bucket."""
     rows = base.columns_only(docs, {"doc_id": "long", "text": "string", "lang": "string"})
     rows = rows.where("lang is not null and text is not null and doc_id is not null").where(fold("doc_id", folds) != held_out)
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("text", "lang")
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    some = rows.join(F.broadcast(known), "lang")  # at most ``languages`` rows
+    some = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.least(F.lit(1.0), F.lit(per_language) / F.col("n")) * (1 << 20)).select("text", "lang")
     counts = base.mapped(some, _count_kernel, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(set(counts.lang))
     n = np.zeros((BUCKETS, len(langs)))

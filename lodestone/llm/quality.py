@@ -5,7 +5,7 @@ quantile bins a feature, on a sample of at most ``sample`` labelled documents, t
 bound. All trees are flattened into arrays and walked together with numpy.
 
 Null and empty texts have statistics of zero and are scored like others. Labels that are null or of no document are left out;
-of repeated labels each counts. Without both classes the score is the share of label 1 in the sample, 0.5 if that is empty.
+of repeated labels each counts; of several documents of one id that with the smallest statistics is learned from. Without both classes the score is the share of label 1 in the sample, 0.5 if that is empty.
 """
 
 from __future__ import annotations
@@ -160,14 +160,17 @@ def _statistics_kernel(batches):
     for batch in batches:
         x = statistics(base.byte_rows(batch, "text")).astype(np.float64)
         flat = pa.array(x.reshape(-1))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)], ["doc_id", "y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("times"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)], ["doc_id", "y", "times", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, folds: int = 5, held_out: int = 0, **options) -> Forest:
     known = base.columns_only(labels, {"doc_id": "long", label: "int"}).where(f"doc_id is not null and `{label}` is not null")
-    known = known.where(fold("doc_id", folds) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(sample).select("doc_id", F.col(label).alias("y"))
-    rows = base.columns_only(docs, {"doc_id": "long", "text": "string"}).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two numbers
-    found = base.mapped(rows, _statistics_kernel, "doc_id long, y int, x array<double>").orderBy("doc_id", "y", "x").limit(2 * sample).toPandas()
+    known = known.where(fold("doc_id", folds) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(sample)
+    known = known.groupBy("doc_id", F.col(label).alias("y")).agg(F.count("*").alias("times"))
+    rows = base.columns_only(docs, {"doc_id": "long", "text": "string"}).join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of three numbers
+    found = base.mapped(rows, _statistics_kernel, "doc_id long, y int, times long, x array<double>")
+    found = found.groupBy("doc_id", "y", "times").agg(F.min("x").alias("x")).orderBy("doc_id", "y").toPandas()
+    found = found.loc[found.index.repeat(found.times)]
     x = np.stack(found.x).astype(np.float32) if len(found) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, found.y.to_numpy(float), **options)
 
