@@ -1,13 +1,14 @@
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
-from test_simhash import components, fingerprint
+from test_neardup import groups
+from test_text_operators import brute_contaminated
 from tokenizers import Tokenizer
 
-from lodestone.llm import base, decontam, langid, queries
+from lodestone.llm import base, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,17 +67,73 @@ def cut(text, gone):
     return "\n".join(runs)
 
 
+def plain_languages(rows):
+    """(language, share) of each (doc_id, text, lang) by its own counts of trigrams and its own EM."""
+    most, held = 1 << 64, {}
+
+    def bucket(gram):
+        x = 0
+        for c, k in zip(gram, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True):
+            x ^= c * k % most
+        for shift, k in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * k % most
+        return (x ^ x >> 31) >> 48
+
+    def counts(text):
+        codes = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+        out = Counter()
+        for k, n in Counter(g for g in zip(codes, codes[1:], codes[2:], strict=False) if g[1]).items():
+            if k not in held:
+                held[k] = bucket(k)
+            out[held[k]] += n
+        return out
+
+    grams = {i: counts(t or "") for i, t, _ in rows}
+    langs = sorted({lang for i, t, lang in rows if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2})
+    n = np.zeros((1 << 16, len(langs)))
+    for i, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            for g, c in grams[i].items():
+                n[g, langs.index(lang)] += c
+    common = (n.sum(axis=1) + 1) / (n.sum() + len(n))
+    p = (n + 0.2 * len(n) * common[:, None]) / (n.sum(axis=0) + 0.2 * len(n))
+
+    def em(q, c):
+        share = np.full(q.shape[1], 1 / q.shape[1])
+        for _ in range(12):
+            part = share * q
+            share = (part / part.sum(axis=1, keepdims=True) * c[:, None]).sum(axis=0) / c.sum()
+        return share
+
+    out = {}
+    for i in grams:
+        if not grams[i]:
+            out[i] = ("und", 0.0)
+            continue
+        q, c = p[list(grams[i])], np.array(list(grams[i].values()), float)
+        fit = lambda chosen, share: (np.log(q[:, chosen] @ share) * c).sum()  # noqa: B023, E731
+        single = [fit([k], np.ones(1)) for k in range(len(langs))]
+        chosen, share, best = [int(np.argmax(single))], np.ones(1), max(single)
+        full, cost = em(q, c), 4.0 * np.log(max(2, c.sum()))
+        for k in np.argsort(-full, kind="stable").tolist() if fit(list(range(len(langs))), full) - best > cost else []:
+            if k not in chosen:
+                new = sorted([*chosen, k])
+                s = em(q[:, new], c)
+                if fit(new, s) - best <= cost:
+                    break
+                chosen, share, best = new, s, fit(new, s)
+        out[i] = (langs[chosen[int(share.argmax())]], float(share.max()))
+    return out
+
+
 def test_run_equals_brute_force(spark):
-    docs = queries.table(spark, SF, "documents")
-    model = langid.train(docs)
-    texts = {}
-    for r in docs.collect():
-        lang, score, _ = langid.infer(model, [r.text.encode()])
-        if lang[0] != "und" and score[0] >= 0.4:
-            texts[r.doc_id] = r.text
+    """Every stage by plain Python, without the engine's functions."""
+    rows = [(r.doc_id, r.text, r.lang) for r in queries.table(spark, SF, "documents").collect()]
+    known = plain_languages(rows)
+    texts = {i: t for i, t, _ in rows if known[i][0] != "und" and known[i][1] >= 0.4}
     order = sorted(texts)
-    group = components([(i, fingerprint(texts[i])) for i in order])
-    texts = {i: texts[i] for i, c in zip(order, group, strict=True) if i == c}
+    group, seen = groups([texts[i] for i in order]), set()
+    texts = {i: texts[i] for i, g in zip(order, group, strict=True) if not (g in seen or seen.add(g))}
     words = {i: t.split() for i, t in texts.items()}
     least = {}
     for i in sorted(words):
@@ -89,24 +146,21 @@ def test_run_equals_brute_force(spark):
                 gone[k : k + 50] = [True] * 50
         texts[i] = cut(texts[i], gone)
     texts = {i: t for i, t in texts.items() if t.split()}
-    plain = lambda t: re.findall(r"[^\W_]+", t.lower())
-    items = [plain(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
-    grams = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in items]
-    clean = {}
-    for i, t in texts.items():
-        w = plain(t)
-        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        hit = [x for x, g in zip(items, grams, strict=True) if len(own & g)]
-        if not any(sum(n for *_, n in decontam.tiles(*(np.array([hash(y) % (1 << 63) for y in z], np.uint64) for z in (x, w)))) >= len(x) / 2 for x in hit):
-            clean[i] = t
+    items = [(r.item_id, r.text) for r in queries.table(spark, SF, "benchmark").collect()]
+    bad = {i for i, *_ in brute_contaminated(list(texts.items()), items)}
+    clean = {i: t for i, t in texts.items() if i not in bad}
+    assert 0 < len(bad) < len(texts) < len(rows)
     tokenizer = Tokenizer.from_file(queries.tokenizer())
     streams = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4") for i, t in clean.items()}
-    at = defaultdict(int)
+    at, places = defaultdict(int), defaultdict(list)
     for r in sorted(corpus_pipeline.run(spark, SF).collect(), key=lambda r: (r.doc_id, r.start)):
         stream = streams[r.doc_id]
         assert (r.start, r.doc_tokens) == (at[r.doc_id], len(stream)) and r.ids_crc32 == zlib.crc32(stream[r.start : r.start + r.length].tobytes())
         at[r.doc_id] += r.length
+        places[r.sequence_id].append((r.offset, r.length))
     assert dict(at) == {i: len(s) for i, s in streams.items()}
+    for own in places.values():
+        assert [a for a, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
 
 
 def test_empty_and_odd_documents(spark):
