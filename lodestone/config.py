@@ -38,7 +38,8 @@ class ScoreConfig:
 
 @dataclass(frozen=True)
 class JudgeConfig:
-    partitions: int = 4
+    partitions: int = 0  # tasks that ask at a time; 0: as many as a shuffle has
+    at_once: int = 4  # calls that a task has under way
     attempts: int = 3
     backoff_s: float = 1.5
     map_context: int = 4096

@@ -1,7 +1,7 @@
 """The external judge: prompts, routing between one call and map-reduce, retries, and a repeatable stand-in.
 
-A judge is any function (prompt, system, context, tokens) -> reply text. It runs in a bounded number of partitions; a failure is a
-row with an error, never a failed job. Prompts are worded here; their slots and limits are the contract.
+A judge is any function (prompt, system, context, tokens) -> reply text. It runs in a bounded number of partitions with a bounded
+number of calls under way in each; a failure is a row with an error, never a failed job. Prompts are worded here; their slots and limits are the contract.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,6 +77,41 @@ def healthy(url: str, model: str, timeout_s: float = 5.0) -> str:
     return "ok" if any(n.split(":")[0] == model.split(":")[0] for n in names) else "model-missing"
 
 
+def routed(ask: Judge | None, health: Callable[[], str] | None) -> Judge | None:
+    """The judge to use: none if it can't be reached; LookupError if its model is missing."""
+    state = health() if ask and health else "ok"
+    if state == "model-missing":
+        raise LookupError("the judge can be reached, but its model is not there")
+    return ask if state == "ok" else None
+
+
+def warm(ask: Judge) -> bool:
+    """One small call that loads the model; its failure is no matter."""
+    try:
+        ask('Return exactly: {"ok": true}', "Reply with JSON only.", 512, 16)
+    except Exception:
+        return False
+    return True
+
+
+def probe(ask: Judge, prompt: str = "Say in three sentences what a median is.", context: int = 2048, tokens: int = 120) -> dict[str, float]:
+    """Seconds and words of one reply, and how many documents of one call each that makes in a minute."""
+    began = time.perf_counter()
+    words = len(ask(prompt, SYSTEM, context, tokens).split())
+    seconds = time.perf_counter() - began
+    return {"seconds": seconds, "words": words, "words_a_second": words / max(seconds, 1e-9), "documents_a_minute": 60 / max(0.4, seconds)}
+
+
+def check(url: str, model: str, ask: Judge | None = None) -> tuple[bool, list[str]]:
+    """Whether a judge can be used, and what there is to say about it: reachable, model there, speed."""
+    state = healthy(url, model)
+    said = {"unreachable": f"can't reach {url}", "model-missing": f"{url} has no model {model}", "ok": f"{url} has {model}"}[state]
+    if state != "ok" or ask is None:
+        return state == "ok", [said]
+    speed = probe(ask)
+    return True, [said, f"{speed['words']:.0f} words in {speed['seconds']:.1f} s, about {speed['documents_a_minute']:.0f} documents a minute"]
+
+
 def _parsed(text: str):
     try:
         return json.loads(text)
@@ -128,16 +164,18 @@ def judge(docs: DataFrame, key: str, rubric: Rubric, role: str, ask: Judge, cfg:
     """(key, judge, calls, seconds) for rows with chunks (array of structs with text), matched and missing skills."""
 
     def run(batches):
-        for rows in batches:
-            out = []
-            for r in rows.itertuples(index=False):
-                began = time.perf_counter()
-                out.append((r.id, *judge_one(ask, role, rubric, list(r.texts), list(r.matched), list(r.missing), cfg, single_pass), time.perf_counter() - began))
-            yield pd.DataFrame(out, columns=["id", "reply", "error", "calls", "seconds"])
+        def one(r):
+            began = time.perf_counter()
+            return (r.id, *judge_one(ask, role, rubric, list(r.texts), list(r.matched), list(r.missing), cfg, single_pass), time.perf_counter() - began)
+
+        with ThreadPoolExecutor(cfg.at_once) as pool:
+            for rows in batches:
+                yield pd.DataFrame(pool.map(one, rows.itertuples(index=False)), columns=["id", "reply", "error", "calls", "seconds"])
 
     importable(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("id"), F.transform("chunks", lambda c: c["text"]).alias("texts"), "matched", "missing").where(F.size("texts") > 0)
-    replies = rows.repartition(cfg.partitions).mapInPandas(run, f"id {kind}, reply string, error string, calls int, seconds double")
+    dealt = rows.repartition(cfg.partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    replies = dealt.mapInPandas(run, f"id {kind}, reply string, error string, calls int, seconds double")
     parsed = jsonfix.judged(F.col("reply"))
     return replies.withColumn("p", parsed).select(F.col("id").alias(key), F.col("p").withField("error", F.coalesce("error", "p.error")).alias("judge"), "calls", "seconds")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cleanup
-from ..operators.ranking import cache_misses
+from ..operators.ranking import cache_misses, ranked, top
 from ..session import importable
+from . import ocr
 
 #: bytes -> page texts; raises for a file that can't be opened, PermissionError for an encrypted one.
 Extractor = Callable[[bytes], list[tuple[str, bool]]]
@@ -21,10 +22,9 @@ def discover(spark: SparkSession, folder: str, glob: str = "*.pdf", limit: int =
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     named = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).withColumn("stem", F.regexp_replace("file", r"\.[^.]*$", ""))
     # numbering looks at names only; contents stay where they are and are read after the limit
-    names = named.select("path", "stem").withColumn("input_pos", F.row_number().over(Window.orderBy(F.length("stem"), "stem", "path")).cast("int"))
-    if limit:
-        names = names.where(F.col("input_pos") <= limit)
-    return named.join(names.select("path", "input_pos"), "path").select("file", "path", "input_pos", F.sha1("content").alias("sha1"), "content")
+    names, order = named.select("path", "stem"), (F.length("stem").asc(), F.asc("stem"), F.asc("path"))
+    names = top(names, limit, *order) if limit else ranked(names, *order)
+    return named.join(names.select("path", F.col("rank").cast("int").alias("input_pos")), "path").select("file", "path", "input_pos", F.sha1("content").alias("sha1"), "content")
 
 
 def plain_text(content: bytes) -> list[tuple[str, bool]]:
@@ -32,34 +32,33 @@ def plain_text(content: bytes) -> list[tuple[str, bool]]:
     return [(page, False) for page in content.decode("utf-8", "replace").split("\f")]
 
 
-def pdf_text(content: bytes, ocr: Callable[[object], str] | None = None, least: int = 120) -> list[tuple[str, bool]]:
-    """An extractor for PDFs, where the library is installed: a page's text layer, or OCR where it is sparse."""
+def pdf_text(content: bytes, read: ocr.Reader | None = None, least: int = 120, memory_gb: float = 8.0, always: bool = False) -> list[tuple[str, bool]]:
+    """An extractor for PDFs, where the library is installed: a page's text layer, or OCR where it is sparse (or ``always``).
+
+    ``read`` turns a page's image into text; by default the first OCR library that is installed. Without any, a sparse page is empty.
+    """
     import pymupdf
 
+    read = read or ocr.reader()
     pages = []
     with pymupdf.open(stream=content, filetype="pdf") as doc:
         if doc.needs_pass:
             raise PermissionError("encrypted")
         for page in doc:
             try:
-                text = page.get_text()
-                sparse = sum(map(str.isalpha, text)) < least
-                pages.append((ocr(page), True) if sparse and ocr else (text, False))
+                text = "" if always else page.get_text()
+                if not always and sum(map(str.isalpha, text)) >= least:
+                    pages.append((text, False))
+                elif read is None:
+                    pages.append(("", False))
+                else:
+                    dpi = ocr.render_dpi(max(page.rect.width, page.rect.height), ocr.render_side(memory_gb))
+                    pages.append((read(page.get_pixmap(dpi=dpi).tobytes("png")), True))
             except Exception:  # a bad page is an empty page
                 pages.append(("", False))
     return pages
 
 
-def render_side(memory_gb: float) -> int:
-    """Pixels of a page's longer side that OCR can afford."""
-    return 1100 if memory_gb < 6 else 1400 if memory_gb < 10 else 1700 if memory_gb < 20 else 2000
-
-
-def render_dpi(points: float, side: int) -> float:
-    """The resolution that brings a page of so many points to the wanted side, within bounds."""
-    return min(400.0, max(200.0, 72.0 * side / max(points, 1.0)))
-
-
 def extracted(files: DataFrame, extractor: Extractor = plain_text) -> DataFrame:
     """Files as documents; what goes wrong with one is in its ``error``."""
 

@@ -1,4 +1,8 @@
+import http.server
 import json
+import sys
+import threading
+import types
 
 import duckdb
 import pytest
@@ -10,7 +14,7 @@ from lodestone.functions import jsonfix
 from lodestone.operators import judge as judges
 from lodestone.operators.rubric import Rubric
 from lodestone.plans import ranker
-from lodestone.sources import ingest, report
+from lodestone.sources import ingest, ocr, report
 from lodestone.streaming import scorer
 
 SF = "/root/testdata/sf0.001"
@@ -123,7 +127,101 @@ def test_files_cache_and_reports(spark, tmp_path):
     assert "<table>" in report.html_page(out, 2, "<b>") and "&lt;b&gt;" in report.html_page(out, 2, "<b>")
     assert "3 documents" in report.console(out)
     assert {r.kind for r in ingest.audit(docs, least=5).collect()} == {"text", "scan"}
-    assert ingest.render_side(4) == 1100 and ingest.render_dpi(10.0, 1100) == 400
+
+
+def test_rendering():
+    assert [ocr.render_side(gb) for gb in (1, 2, 4, 6, 8, 9, 64)] == [1100, 1100, 1400, 1700, 1700, 2000, 2000]
+    assert ocr.render_dpi(10.0, 1100) == 400 and ocr.render_dpi(0, 2000) == 200 and ocr.render_dpi(792, 1700) == 154
+    assert ocr.render_dpi(400, 1000) == 200 and ocr.render_dpi(792, 1100) == 100  # raised within the budget; not beyond it
+
+
+def test_first_backend_that_can_be_had(monkeypatch):
+    calls = []
+
+    def broken():
+        calls.append("a")
+        raise ImportError("a")
+
+    monkeypatch.setattr(ocr, "BACKENDS", {"a": broken, "b": lambda: lambda image: image.decode()})
+    assert ocr.reader(("a", "b"))(b"page") == "page" and calls == ["a"] and ocr.reader(("a",)) is None
+
+
+def test_pdf_pages(monkeypatch):
+    """A stand-in for the library: a page with a text layer, one without, and one that breaks."""
+
+    class Page:
+        def __init__(self, text):
+            self.text, self.rect = text, types.SimpleNamespace(width=612, height=792)
+
+        def get_text(self):
+            if self.text is None:
+                raise ValueError("bad page")
+            return self.text
+
+        def get_pixmap(self, dpi):
+            return types.SimpleNamespace(tobytes=lambda kind: f"{kind} at {dpi}".encode())
+
+    class Document(list):
+        needs_pass = False
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *a: None
+
+    doc = Document([Page("x" * 200), Page("sparse"), Page(None)])
+    monkeypatch.setitem(sys.modules, "pymupdf", types.SimpleNamespace(open=lambda **k: doc))
+    read = lambda image: image.decode()
+    assert ingest.pdf_text(b"", read) == [("x" * 200, False), ("png at 154", True), ("", False)]
+    assert ingest.pdf_text(b"", read, always=True) == [("png at 154", True)] * 3
+    assert ingest.pdf_text(b"") == [("x" * 200, False), ("", False), ("", False)]
+    doc.needs_pass = True
+    with pytest.raises(PermissionError):
+        ingest.pdf_text(b"", read)
+
+
+def test_judge_is_routed_by_its_health(spark):
+    assert judges.routed(judges.stand_in, lambda: "ok") is judges.stand_in and judges.routed(judges.stand_in, None) is judges.stand_in
+    assert judges.routed(judges.stand_in, lambda: "unreachable") is None and judges.routed(None, lambda: 1 / 0) is None
+    docs = spark.createDataFrame([(1, "alpha tool")], "doc_id long, text string")
+    row = ranker.rank(docs, RUBRIC, "role", Config(), judges.stand_in, health=lambda: "unreachable").first()
+    assert row.judge_score is None and row.blend == "deterministic-only"
+    with pytest.raises(LookupError):
+        ranker.rank(docs, RUBRIC, "role", Config(), judges.stand_in, health=lambda: "model-missing")
+
+
+def test_health_probe_and_warm_up():
+    class Tags(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"models": [{"name": "small:7b"}]}).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Tags)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/tags"
+    assert judges.healthy(url, "small") == "ok" and judges.healthy(url, "large") == "model-missing"
+    assert judges.check(url, "large")[0] is False
+    ok, said = judges.check(url, "small:7b", judges.stand_in)
+    assert ok and len(said) == 2 and "documents a minute" in said[1]
+    server.shutdown()
+    server.server_close()
+    assert judges.healthy(url, "small") == "unreachable" and judges.check(url, "small")[0] is False
+    assert judges.warm(judges.stand_in) and not judges.warm(lambda *a: 1 / 0)
+
+
+def test_calls_are_under_way_together(spark):
+    """Four rows in one task, each call waiting for the others."""
+    gate = "lodestone_gate"
+
+    def ask(prompt, system, context, tokens):
+        barrier = sys.modules.setdefault(gate, threading.Barrier(4))
+        barrier.wait(timeout=30)
+        return judges.stand_in(prompt, system, context, tokens)
+
+    rows = spark.range(4).selectExpr("id AS doc_id", "array(named_struct('text', concat('t', id))) AS chunks", "array('a') AS matched", "array('b') AS missing")
+    found = judges.judge(rows, "doc_id", RUBRIC, "role", ask, JudgeConfig(partitions=1, at_once=4, attempts=1)).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3] and all(r.judge.error is None and r.calls == 1 for r in found)
 
 
 def test_streaming_scores_each_file_once(spark, tmp_path):
