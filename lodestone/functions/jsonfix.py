@@ -15,6 +15,7 @@ def unfenced(c: Column) -> Column:
 
 def repaired(c: Column) -> Column:
     """Trailing commas, curly quotes, Python's constants, line comments and line feeds."""
+    # What is repaired, in this order.
     steps = [(r",\s*([\]}])", "$1"), ("[“”]", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null"), (r'//[^\n"]*', ""), (r"\s*\n\s*", " ")]
     for bad, good in steps:
         c = F.regexp_replace(c, bad, good)
@@ -55,9 +56,11 @@ def _list(v: Column, name: str, most: int, width: int) -> Column:
 
 
 def judged(reply: Column) -> Column:
-    """A judge's reply as a struct; ``score`` null and ``error`` set if it has no usable score."""
-    raw = json_text(reply)
-    v = F.try_parse_json(raw)
+    """A judge's reply as a struct; ``score`` null and ``error`` set if it has no usable score. Repaired and parsed once."""
+    return let(json_text(reply), lambda raw: let(F.try_parse_json(raw), lambda v: _judgement(raw, v)))
+
+
+def _judgement(raw: Column, v: Column) -> Column:
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     number = r"^\s*\d+\s*$"
     kind = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.score", "variant")), F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import ScoreConfig
+from .text import let
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
@@ -13,6 +14,27 @@ def clamp(c: Column, lo: float = 0.0, hi: float = 100.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
+def rounded(c: Column, digits: int = 2) -> Column:
+    """A number below 2**10 rounded to the nearest by its exact binary value, ties to even: 0.125 to 0.12, and 1.115, which is a little less, to 1.11.
+
+    Spark rounds a number's decimal spelling, so only where that is a tie the binary value has to decide.
+    """
+    step = 10**digits
+
+    def nearest(x: Column) -> Column:
+        spelled = x.cast("string").cast("decimal(20,12)")
+        low = F.floor(spelled * step)
+        tie = spelled * step - low == F.lit(0.5).cast("decimal(2,1)")
+        # exact: powers of two times a number of 53 bits, as integers
+        small = F.abs(x) < 1
+        exact = F.when(small, (x * 2.0**60).cast("long")).otherwise((x * 2.0**52).cast("long")).cast("decimal(38,12)")
+        said = F.when(small, spelled.cast("decimal(13,12)") * F.lit(2**60).cast("decimal(19,0)")).otherwise(spelled.cast("decimal(16,12)") * F.lit(2**52).cast("decimal(16,0)"))
+        up = F.when(exact > said, 1).when(exact < said, 0).otherwise(F.pmod(low, F.lit(2)))
+        return F.when(tie, ((low + up) / step).cast("double")).otherwise(F.round(x, digits))
+
+    return let(c.cast("double"), nearest)
+
+
 def saturation(ratio: Column) -> Column:
     """The first skills of a category count most."""
     return 1 - F.exp(-3.0 * ratio)
@@ -61,7 +83,7 @@ def years_disagree(own: Column, judge: Column, cfg: ScoreConfig = ScoreConfig())
 
 def years_or(own: Column, judge: Column) -> Column:
     """The judge's years only where none were found."""
-    return F.when((F.coalesce(own, F.lit(0.0)) <= 0) & judge.isNotNull(), F.round(judge, 1)).otherwise(F.coalesce(own, F.lit(0.0)))
+    return F.when((F.coalesce(own, F.lit(0.0)) <= 0) & judge.isNotNull(), rounded(judge, 1)).otherwise(F.coalesce(own, F.lit(0.0)))
 
 
 def density(hits: Column, length: Column, section: Column) -> Column:

@@ -82,7 +82,7 @@ class Rubric:
 
     def block(self, most: int = 14) -> str:
         """The rubric as lines of text for a judge."""
-        lines = []
+        lines = []  # Fixed values: the form of a line.
         for name, weight, must, skills in self.categories:
             shown = sorted(set(skills))
             more = f" (+{len(shown) - most} more)" if len(shown) > most else ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,11 @@ def status(text: Column, error: Column, judge_error: Column | None = None) -> Co
 
 
 def parsed(docs: DataFrame, rubric: Rubric, cfg: Config = Config(), names: list[str] = contacts.GIVEN_NAMES) -> DataFrame:
-    """All that needs no judge. Nothing is shuffled but the lines of evidence. Blank texts keep their row, with a score of zero."""
+    """All that needs no judge, computed where a document lies: nothing is shuffled. Blank texts keep their row, with a score of zero."""
     out = contacts.with_contacts(documents(docs), "text", "file", names)
     out = sections.with_chunks(out, rubric.keywords(), cfg.chunk)
-    out = matching.coverage(out, rubric).drop("hits")
+    out = matching.coverage(out, rubric)
+    out = out.withColumn("evidence", matching.evidence(text_of(F.col("text")), F.col("hits"), F.col("categories"))).drop("hits")
     blank = strip(text_of(F.col("text"))) == ""
     work = timeline.work_text(F.col("text"), F.col("sections"))
     fields = timeline.education_fields(F.col("text"))
@@ -45,8 +48,8 @@ def parsed(docs: DataFrame, rubric: Rubric, cfg: Config = Config(), names: list[
     out = out.withColumn("must_have_met", matching.must_haves(F.col("categories"), True)).withColumn("must_have_missing", F.when(blank, none).otherwise(matching.must_haves(F.col("categories"), False)))
     out = out.withColumn("matched", matching.skills(F.col("categories"), "matched")).withColumn("missing", F.when(blank, none).otherwise(matching.skills(F.col("categories"), "missing")))
     out = out.withColumn("category_scores", matching.points_map(F.col("categories"))).withColumn("word_count", word_count(F.col("text")))
-    keyword = scoring.calibrated(F.round("base", 2), F.col("years_experience"), F.size("must_have_missing"), F.col("education_level"), F.col("field_relevant"), cfg.score)
-    out = out.withColumn("keyword_exact", keyword).withColumn("keyword_score", F.round("keyword_exact", 2)).withColumn("notes", scoring.notes(F.col("years_experience"), F.col("must_have_missing"), F.col("education_level"), F.col("field_relevant"), cfg.score))
+    keyword = scoring.calibrated(scoring.rounded(F.col("base")), F.col("years_experience"), F.size("must_have_missing"), F.col("education_level"), F.col("field_relevant"), cfg.score)
+    out = out.withColumn("keyword_exact", keyword).withColumn("keyword_score", scoring.rounded(F.col("keyword_exact"))).withColumn("notes", scoring.notes(F.col("years_experience"), F.col("must_have_missing"), F.col("education_level"), F.col("field_relevant"), cfg.score))
     warnings = F.concat(
         F.array_compact(F.array(F.when(F.col("error").isNotNull(), F.concat(F.lit("extract:"), "error")), F.when(blank, F.lit("no-text-extracted")))),
         F.when(blank, none).otherwise(F.col("contact_warnings")),
@@ -65,7 +68,7 @@ def blended(out: DataFrame, judged: DataFrame | None, cfg: Config = Config(), ke
         out = out.join(judged, key, "left")
     j, s = "judge.score", cfg.score
     own = F.col("years_experience")
-    final = F.round(scoring.blended(F.col("keyword_exact"), F.col(j), s), 2)
+    final = scoring.rounded(scoring.blended(F.col("keyword_exact"), F.col(j), s))
     shown = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
     more = F.array_compact(
         F.array(
@@ -80,19 +83,21 @@ def blended(out: DataFrame, judged: DataFrame | None, cfg: Config = Config(), ke
     return (
         out.withColumn("warnings", F.concat("warnings", more)).withColumn("reasoning", F.array_join(bits, " | ")).withColumn("final_score", final).withColumn("blend", scoring.blend_name(F.col("keyword_exact"), F.col(j), s))
         .withColumn("recommendation", scoring.tier(F.col("final_score"), s)).withColumn("parse_status", status(F.col("text"), F.col("error"), F.col("judge.error")))
-        .withColumn("years_experience", scoring.years_or(own, F.col("judge.years_relevant"))).withColumn("judge_score", F.round(j, 2))
+        .withColumn("years_experience", scoring.years_or(own, F.col("judge.years_relevant"))).withColumn("judge_score", scoring.rounded(F.col(j)))
         .withColumn("seniority", F.coalesce("judge.seniority", F.lit(""))).withColumn("strengths", F.col("judge.strengths")).withColumn("gaps", F.col("judge.gaps"))
     )
 
 
-def rank(docs: DataFrame, rubric: Rubric, role: str = "", cfg: Config = Config(), ask: judges.Judge | None = None, names: list[str] = contacts.GIVEN_NAMES, key: str = "doc_id") -> DataFrame:
-    """Every document with its fields, scores, warnings and rank. Only narrow columns are sorted; wide ones are joined on."""
+def rank(docs: DataFrame, rubric: Rubric, role: str = "", cfg: Config = Config(), ask: judges.Judge | None = None, names: list[str] = contacts.GIVEN_NAMES, key: str = "doc_id", health: Callable[[], str] | None = None) -> DataFrame:
+    """Every document with its fields, scores, warnings and rank.
+
+    ``health`` is asked once before: without a reachable judge documents are ranked by keywords alone, without its model nothing is.
+    """
+    ask = judges.routed(ask, health)
     base = parsed(docs, rubric, cfg, names)
     asked = base.where(~F.col("blank") & F.col("error").isNull()).select(key, "chunks", "matched", "missing")
     out = blended(base, judges.judge(asked, key, rubric, role, ask, cfg.judge, cfg.chunk.single_pass) if ask else None, cfg, key)
     out = ranking.first_seen(out, "sha1", "input_pos", "file")
     out = out.withColumn("warnings", F.when(F.col("duplicate_of").isNotNull(), F.array_append("warnings", F.concat(F.lit("duplicate-of:"), "duplicate_of"))).otherwise(F.col("warnings")))
-    evidence = matching.evidence_lines(documents(docs).where(strip(text_of(F.col("text"))) != ""), rubric, key)
-    out = out.join(evidence, key, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
     out = out.select("*", "contact.*").drop("contact", "judge", "sections", "categories", "blank", "text")
     return ranking.ranked(out, F.desc("final_score"), F.desc("keyword_score"), F.asc("file"), F.asc("input_pos"))

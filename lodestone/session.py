@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -32,3 +32,11 @@ def importable(spark: SparkSession | None = None) -> None:
     root, known = str(Path(__file__).resolve().parents[1]), environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
+def spread(df: DataFrame, per_core: int = 32 << 20) -> DataFrame:
+    """The rows of a small input dealt out over all cores. Files are split by row groups, so a small one would be a single task
+    however costly its rows are; an input of more than ``per_core`` bytes a core stays as it is, and nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * per_core else df

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from lodestone.config import ScoreConfig
 from lodestone.functions import scoring, timeline
 from lodestone.operators import matching, ranking, sections
 from lodestone.operators.rubric import Rubric
+from lodestone.session import spread
 
 TINY = Rubric(
     {
@@ -36,6 +39,22 @@ def test_short_aliases_are_words(spark):
     assert hit == [True, False, True, True, False, True]
 
 
+def test_words_and_patterns_agree(spark):
+    """Short aliases as members of the set of words, against their patterns."""
+    rubric = Rubric({"categories": [{"name": "c", "skills": ["le", "R", "C++", "c#", ".net", "VaR", "aé", "x1", "K"]}]})
+    texts = ["les LES lees le", "r&d R.", "C++ and c#", "a .NET shop", "var vars vares varss", "aé AÉ", "x1 X1s ax1", "\u212a and k\u00e9", "Kk", "", None, "one-le\nles"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.matched_alias) for r in matching.alias_hits(docs, rubric).collect()}
+    plain = lambda a: re.compile(rf"(?<![A-Za-z0-9]){re.escape(a)}(?:s|es)?(?![A-Za-z0-9])", re.I | re.A)
+    assert got == {(k, a.alias) for k, t in enumerate(texts) for a in rubric.aliases if a.short and plain(a.alias).search(t or "")}
+
+
+def test_small_inputs_are_dealt_out(spark):
+    df = spark.range(100, numPartitions=1)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(df, per_core=1).rdd.getNumPartitions() == 1
+    assert sorted(r.id for r in spread(df).collect()) == list(range(100))
+
+
 def test_common_short_aliases_do_not_fire_inside_words(spark):
     rubric = Rubric({"categories": [{"name": "c", "skills": ["R", "CTE", "ARCH", "dash", "VaR", "SQL", "git"]}]})
     docs = spark.createDataFrame([(1, "impacted architecture searches dashboard variable digital nosqlish error")], "doc_id long, text string")
@@ -69,7 +88,17 @@ def test_blend_and_tiers(spark):
         assert row.s == pytest.approx(want) and row.t == tier
 
 
+def test_rounding_is_by_the_binary_value(spark):
+    r = random.Random(7)
+    cases = [0.125, 0.375, 1.115, 2.675, 1.005, 0.285, 0.005, 0.015, 99.995, 100.0, 0.0, 64.5, 57.995, 12.345, 0.045, 1e-9, 33.335, 5e-3]
+    cases += [k / 8 for k in range(0, 801, 7)] + [k / 1000 for k in range(5, 100_000, 977)] + [r.uniform(0, 100) for _ in range(300)] + [r.randrange(100_000) / 1000 for _ in range(300)]
+    rows = spark.createDataFrame([(float(x),) for x in cases], "x double").select("x", scoring.rounded(F.col("x")).alias("two"), scoring.rounded(F.col("x"), 1).alias("one")).collect()
+    assert [(q.x, q.two, q.one) for q in rows if (q.two, q.one) != (round(q.x, 2), round(q.x, 1))] == []
+
+
 def test_clamp_keeps_null(spark):
+    assert spark.range(1).select(scoring.rounded(F.lit(None).cast("double")).alias("x")).first().x is None
+
     assert spark.range(1).select(scoring.clamp(F.lit(None).cast("double")).alias("x")).first().x is None
 
 
