@@ -13,6 +13,7 @@ from ..config import ChunkConfig, Config
 from ..functions import contacts, jsonfix, scoring, text, timeline
 from ..operators import matching, ranking, sections
 from ..operators.rubric import Rubric
+from ..session import spread
 from ..sources import ingest
 from . import ranker
 
@@ -49,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *more))
 
 
 # --- SQL fragments -----------------------------------------------------------------------------------------------------
@@ -115,7 +116,11 @@ PROFILES = f"profile AS (SELECT c_custkey AS id, {PROFILE} AS text FROM customer
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{PROFILE} AS text")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")).selectExpr("c_custkey AS id", f"{PROFILE} AS text")
+
+
+def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "events").select("event_id", *columns))
 
 
 # --- text --------------------------------------------------------------------------------------------------------------
@@ -245,27 +250,40 @@ def missing_skills(spark, sf_dir):
     return found.select("doc_id", F.explode_outer("categories").alias("c")).select("doc_id", "c.category", F.explode_outer("c.missing").alias("skill")).where("skill is not null")
 
 
-_SNIP = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+#: place: where the best alias of each skill first stands, and what stands around it. Short aliases are found with a character on
+#: either side, which is taken off again.
+PLACE = r"""
+    spot AS (
+        SELECT best.*, doc.text AS body, regexp_extract(doc.text, CASE WHEN is_short THEN pattern ELSE '(?i)()' || array_to_string(string_split(alias_sq, ''), '[^A-Za-z0-9]*') || '()()' END) AS m,
+            CASE WHEN is_short THEN regexp_extract(doc.text, pattern, 1) ELSE '' END AS lead, CASE WHEN is_short THEN regexp_extract(doc.text, pattern, 3) ELSE '' END AS trail
+        FROM best JOIN doc USING (doc_id)
+    ),
+    core AS (
+        SELECT *, length(m) - length(lead) - length(trail) AS n,
+            CASE WHEN is_short AND trail = '' THEN length(body) - length(m) ELSE strpos(body, m) - 1 END + length(lead) AS s
+        FROM spot
+    ),
+    place AS (
+        SELECT doc_id, category_pos, category, skill, CASE WHEN s > 45 THEN '…' ELSE '' END || trim(regexp_replace(substr(body, greatest(0, s - 45) + 1, least(length(body), s + n + 45) - greatest(0, s - 45)), '\s+', ' ', 'g'))
+            || CASE WHEN s + n + 45 < length(body) THEN '…' ELSE '' END AS evidence
+        FROM core
+    )
+"""
 
 
-@query(rf"""
-    WITH {MATCH}, place AS (
-        SELECT doc_id, category, skill, alias_sq, text, regexp_extract(text, '(?i)' || array_to_string(string_split(alias_sq, ''), '[^A-Za-z0-9]*')) AS m FROM best WHERE NOT is_short
-    ), at AS (SELECT *, strpos(text, m) - 1 AS s FROM (SELECT place.* FROM place JOIN doc USING (doc_id)))
-    SELECT doc_id, category, skill, CASE WHEN s > 45 THEN '…' ELSE '' END || {_SNIP.format("substr(text, greatest(0, s - 45) + 1, least(length(text), s + length(m) + 45) - greatest(0, s - 45))")}
-        || CASE WHEN s + length(m) + 45 < length(text) THEN '…' ELSE '' END AS evidence FROM at
-""".replace("SELECT doc_id, category, skill, alias_sq, text, regexp_extract", "SELECT best.doc_id, category, skill, alias_sq, doc.text AS text, regexp_extract").replace("AS m FROM best WHERE NOT is_short", "AS m FROM best JOIN doc USING (doc_id) WHERE NOT is_short").replace("at AS (SELECT *, strpos(text, m) - 1 AS s FROM (SELECT place.* FROM place JOIN doc USING (doc_id)))", "found AS (SELECT *, strpos(text, m) - 1 AS s FROM place)").replace("evidence FROM at", "evidence FROM found").replace("regexp_extract(text,", "regexp_extract(doc.text,"))
+@query(f"WITH {MATCH}, {PLACE} SELECT doc_id, category, skill, evidence FROM place")
 def evidence_snippets(spark, sf_dir):
-    """Long aliases only: where short ones stand can't be said without looking around, which the other engine's patterns lack."""
-    long = Rubric({"categories": []})
-    long.aliases, long.categories = [a for a in RUBRIC.aliases], RUBRIC.categories
-    found = matching.best_hits(docs(spark, sf_dir), long, evidence=True)
-    short = {(a.category, a.skill, a.alias) for a in RUBRIC.aliases if a.short}
-    known = F.array(*[F.lit("|".join(x)) for x in sorted(short)])
-    return found.where(~F.array_contains(known, F.concat_ws("|", "category", "skill", "matched_alias"))).select("doc_id", "category", "skill", "evidence")
+    return matching.best_hits(docs(spark, sf_dir), RUBRIC, evidence=True).select("doc_id", "category", "skill", "evidence")
 
 
-@query()
+@query(f"""
+    WITH {MATCH}, {PLACE}, line AS (
+        SELECT place.doc_id, place.category_pos, skill, round(points, 3) AS points, place.category || ': ' || skill || ' — “' || evidence || '”' AS line,
+            row_number() OVER (PARTITION BY place.doc_id, place.category_pos ORDER BY skill) AS own
+        FROM place JOIN cat ON cat.doc_id = place.doc_id AND cat.category_pos = place.category_pos
+    ), kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, category_pos, skill) AS rn FROM line WHERE own <= 3)
+    SELECT doc_id, string_agg(line, ' | ' ORDER BY rn) AS evidence FROM kept WHERE rn <= 8 GROUP BY doc_id
+""")
 def evidence_lines(spark, sf_dir):
     return matching.evidence_lines(docs(spark, sf_dir), RUBRIC).select("doc_id", F.array_join("evidence", " | ").alias("evidence"))
 
@@ -375,11 +393,11 @@ def split_sections(spark, sf_dir):
 
 
 @query("""
-    SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER w, 'header') AS section, count(CASE WHEN role = 'user' THEN 1 END) OVER w AS run_id
+    SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w, 'header') AS section, count(CASE WHEN role = 'user' THEN 1 END) OVER w AS run_id
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def sections_running(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").withColumn("heading", F.when(F.col("role") == "user", F.left("text", F.lit(20))))
+    turns = table(spark, sf_dir, "conversations").withColumn("heading", F.when(F.col("role") == "user", F.col("text")))
     return sections.running_sections(turns, "conv_id", "turn", "heading").select("conv_id", "turn", "section", "run_id")
 
 
@@ -427,6 +445,104 @@ def section_chunks(spark, sf_dir):
 
 _MAIL = contacts.EMAIL.replace("'", "''")
 _BAD = ", ".join(_quoted(d) for d in contacts.PLACEHOLDER_DOMAINS)
+_GIVEN = ", ".join(_quoted(x) for x in contacts.GIVEN_NAMES)
+_WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPELLED = contacts.SPELLED_EMAIL.replace("'", "''")
+
+
+def _listed(values: list[str]) -> str:
+    return "[" + ", ".join(_quoted(v) for v in values) + "]"
+
+
+def _unglued(w: str) -> str:
+    """A word as two where a name is glued, in SQL."""
+    cut = f"list_max(list_filter(range(3, length({w}) - 2), lambda k: list_contains([{_GIVEN}], lower(substr({w}, 1, k)))))"
+    two = f"substr({w}, 1, {cut}) || ' ' || substr({w}, {cut} + 1)"
+    title = f"upper(substr({w}, 1, 1)) || lower(substr({w}, 2, {cut} - 1)) || ' ' || upper(substr({w}, {cut} + 1, 1)) || lower(substr({w}, {cut} + 2))"
+    glued = rf"regexp_matches({w}, '^\pL{{7,24}}$') AND NOT list_contains([{_GIVEN}], lower({w})) AND {cut} IS NOT NULL"
+    return rf"""CASE WHEN regexp_matches({w}, '^(Mc|Mac|De|Van|Von|La|Le|Di|Da|Del|San|St|O'')[A-Z]') THEN {w} WHEN regexp_matches({w}, '[a-z][A-Z]') THEN regexp_replace({w}, '([a-z0-9])([A-Z])', '\1 \2', 'g')
+        WHEN {glued} AND upper({w}) = {w} THEN {title} WHEN {glued} THEN {two} ELSE {w} END"""
+
+
+def _is_place(x: str) -> str:
+    """Whether a line is a place, in SQL."""
+    tail = f"regexp_replace(regexp_extract({x}, ',([^,]*)$', 1), '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+    return rf"""(contains({x}, ',') AND {tail} <> '' AND CASE WHEN regexp_matches({tail}, '^[A-Z]{{2}}$') THEN list_contains({_listed(contacts.STATES)}, {tail})
+        ELSE regexp_matches({tail}, '^[A-Za-z ]{{2,25}}\s*,?\s*\d{{4,6}}$') OR list_contains({_listed(contacts.STATE_NAMES + contacts.COUNTRIES)}, lower(trim({tail}, '.'))) END)"""
+
+
+def _is_role(x: str) -> str:
+    parts = f"list_bool_or(list_transform({_listed(contacts.ROLE_PARTS)}, lambda p: contains(regexp_replace(lower({x}), '[^a-z]+', '', 'g'), p)))"
+    return rf"(regexp_matches({x}, '(?i)\b({'|'.join(contacts.ROLE_WORDS)})\b') OR {parts})"
+
+
+#: mail: of each text of ``src`` the address; call: the number; who: the name; spot: the place.
+MAIL = rf"""
+    norm AS (SELECT id, regexp_replace(regexp_replace(replace(replace(translate(coalesce(text, ''), {_quoted(text.LOOKALIKES[0])}, {_quoted(text.LOOKALIKES[1])}), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS n FROM src),
+    plain AS (SELECT id, n, regexp_extract_all(n, '{_MAIL}') AS p, regexp_replace(n, '{_WHITE}+', '', 'g') AS tight FROM norm),
+    raw_mail AS (
+        SELECT id, CASE WHEN len(p) > 0 THEN p WHEN regexp_matches(tight, '{_MAIL}') THEN regexp_extract_all(tight, '{_MAIL}')
+            ELSE list_transform(list_zip(regexp_extract_all(n, '{_SPELLED}', 1), regexp_extract_all(n, '{_SPELLED}', 2), regexp_extract_all(n, '{_SPELLED}', 3)), lambda z: z[1] || '@' || z[2] || '.' || z[3]) END AS found FROM plain
+    ),
+    each_mail AS (SELECT id, i, trim(trim(a), '.,;:|()<>[]{{}}"''`') AS a FROM (SELECT id, unnest(found) AS a, generate_subscripts(found, 1) AS i FROM raw_mail)),
+    cut_mail AS (SELECT id, i, split_part(a, '@', 1) AS l, substr(a, length(split_part(a, '@', 1)) + 1) AS d, regexp_extract(split_part(a, '@', 1), '^(\+?\d[\d\s().\-]{{6,}}[\s.\-])', 1) AS glue FROM each_mail),
+    own_mail AS (SELECT id, i, CASE WHEN length(regexp_replace(glue, '\D', '', 'g')) >= 9 THEN substr(l, length(glue) + 1) ELSE l END AS l, regexp_replace(d, '{_WHITE}+', '', 'g') AS d FROM cut_mail),
+    new_mail AS (
+        SELECT id, i, substr(d, 2) AS domain, CASE WHEN regexp_matches(l, '[oOlISBZ]') AND regexp_matches(l, '[0-9]') THEN array_to_string(list_transform(range(1, length(l) + 1), lambda k: CASE
+            WHEN regexp_matches(substr(l, k, 1), '[oOlISBZ]') AND (regexp_matches(substr(l, k + 1, 1), '[0-9]') OR (k > 1 AND regexp_matches(substr(l, k - 1, 1), '[0-9]'))) THEN translate(substr(l, k, 1), 'oOlISBZ', '0011582') ELSE substr(l, k, 1) END), '') ELSE l END AS l, d FROM own_mail
+    ),
+    fine_mail AS (
+        SELECT id, i, l || d AS a, list_bool_or(list_transform([{_BAD}], lambda p: levenshtein(lower(domain), p) <= 1)) AS bad, row_number() OVER (PARTITION BY id, lower(l || d) ORDER BY i) AS again FROM new_mail
+        WHERE starts_with(d, '@') AND NOT contains(domain, '@') AND length(l) BETWEEN 1 AND 64 AND length(domain) BETWEEN 4 AND 255 AND NOT contains(l, '..') AND NOT starts_with(l, '.') AND NOT ends_with(l, '.')
+            AND regexp_matches(domain, '^([^.]+\.)+[A-Za-z]{{2,24}}$')
+    ),
+    mail AS (SELECT norm.id, n, coalesce(arg_min(a, CASE WHEN bad THEN 1000000 ELSE 0 END + i), '') AS email, coalesce(bool_and(bad), false) AS placeholder FROM norm LEFT JOIN fine_mail ON fine_mail.id = norm.id AND again = 1 GROUP BY norm.id, n)
+"""
+_NUMBER = contacts.PHONE
+CALL = rf"""
+    work AS (SELECT id, CASE WHEN email <> '' THEN replace(n, email, ' EMAILTOKEN ') ELSE n END AS w FROM mail),
+    number AS (SELECT id, unnest(m) AS m, generate_subscripts(m, 1) AS i, unnest(g[1:len(m)]) AS before FROM (SELECT id, regexp_extract_all(w, '{_NUMBER}') AS m, string_split_regex(w, '{_NUMBER}') AS g FROM work)),
+    digit AS (SELECT id, i, before, trim(m, ' -.,()') AS raw, regexp_replace(m, '\D', '', 'g') AS d FROM number),
+    score_call AS (
+        SELECT id, i, raw, CASE WHEN starts_with(raw, '+') THEN 3 ELSE 0 END + CASE WHEN length(d) = 10 AND regexp_matches(d, '^[6-9]') THEN 4 ELSE 0 END + CASE WHEN length(d) IN (11, 12) AND regexp_matches(d, '^(91|1)') THEN 3 ELSE 0 END
+            + CASE WHEN regexp_matches(raw, '[\-\s.()]') THEN 2 ELSE 0 END - CASE WHEN length(d) >= 12 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(right(before, 2), '[A-Za-z]') AND NOT starts_with(raw, '+') THEN 3 ELSE 0 END AS score
+        FROM digit WHERE length(d) BETWEEN 9 AND 15 AND NOT regexp_matches(raw, '^(19|20)\d{{2}}[-/]?(19|20)\d{{2}}$')
+    ),
+    best_call AS (SELECT id, arg_min(raw, i - 1000000 * score) AS phone FROM score_call WHERE score >= 0 GROUP BY id),
+    call AS (SELECT work.id, coalesce(phone, list_filter(regexp_extract_all(regexp_replace(w, '{_WHITE}+', '', 'g'), '{_NUMBER}'), lambda m: length(regexp_replace(m, '\D', '', 'g')) BETWEEN 9 AND 15)[1], '') AS phone FROM work LEFT JOIN best_call USING (id))
+"""
+WHO = rf"""
+    head AS (SELECT id, list_filter(list_transform(string_split_regex(left(n, 1200), '[\n-\r\x1c-\x1e\x85\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_WHITE}+|{_WHITE}+$', '', 'g')), lambda x: x <> '') AS ls FROM norm),
+    first_line AS (SELECT id, unnest(ls[1:12]) AS line, generate_subscripts(ls[1:12], 1) AS i, ls FROM head),
+    tidy AS (SELECT id, i, list_position(ls, line) AS pos, trim(line, '|·,-–—') AS s, trim(line, '|·,-') AS here, coalesce(trim(ls[2], '|·,-–—'), '') AS after FROM first_line),
+    spaced AS (SELECT *, array_to_string(list_transform(list_filter(string_split_regex(s, '{_WHITE}+'), lambda w: w <> ''), lambda w: {_unglued("w")}), ' ') AS g FROM tidy WHERE i <= 8 AND length(s) BETWEEN 3 AND 60 AND NOT contains(s, '@') AND NOT regexp_matches(s, '\d{{3}}')),
+    longer AS (SELECT id, i, pos, CASE WHEN pos = 1 AND NOT contains(g, ' ') AND regexp_matches(after, '^\p{{Lu}}\pL*$') AND NOT {_is_role("after")} THEN g || ' ' || after ELSE g END AS g FROM spaced WHERE NOT {_is_role("g")} AND NOT {_is_place("g")}),
+    named AS (
+        SELECT id, i, g, list_bool_or(list_transform(string_split(g, ' '), lambda w: list_contains([{_GIVEN}], lower(trim(w, '.,'))))) AS known FROM longer
+        WHERE len(string_split(g, ' ')) <= 5 AND (contains(g, ' ') OR pos = 1) AND list_bool_and(list_transform(string_split(g, ' '), lambda w: regexp_matches(w, '^\p{{Lu}}'))) AND length(regexp_replace(g, '[^\pL .''\-]', '', 'g')) >= 0.75 * length(g)
+            AND (pos <= 3 OR list_bool_or(list_transform(string_split(g, ' '), lambda w: list_contains([{_GIVEN}], lower(trim(w, '.,'))))))
+    ),
+    who AS (SELECT norm.id, coalesce(arg_min(g, i), '') AS name, CASE WHEN count(g) > 0 THEN 'header' ELSE 'none' END AS source, coalesce(arg_min(known, i), false) AS known FROM norm LEFT JOIN named USING (id) GROUP BY norm.id),
+    town AS (SELECT id, i, regexp_extract(here, '^([A-Za-z.\- ]+),\s*(.+)$', 1) AS city, regexp_extract(here, '^([A-Za-z.\- ]+),\s*(.+)$', 2) AS region FROM tidy
+        WHERE length(here) BETWEEN 4 AND 60 AND NOT contains(here, '@') AND NOT regexp_matches(here, '\d{{3}}[-.\s]\d{{3}}') AND {_is_place("here")} AND regexp_matches(here, '^([A-Za-z.\- ]+),\s*(.+)$')),
+    shown AS (SELECT id, i, trim(regexp_replace(array_to_string(list_transform(list_filter(string_split_regex(city, '{_WHITE}+'), lambda w: w <> ''), lambda w: {_unglued("w")}), ' '), '^[A-Za-z](\s+[A-Z][a-z])', '\1'), ' .-') || ', ' || regexp_replace(trim(region), '([A-Za-z])(\d)', '\1 \2', 'g') AS place FROM town),
+    spot AS (SELECT norm.id, coalesce(arg_min(place, i), '') AS location FROM norm LEFT JOIN shown USING (id) GROUP BY norm.id)
+"""
+LINKS = r"""
+    site AS (
+        SELECT id, CASE WHEN regexp_matches(n, '(?i)linkedin\.com/(?:in|pub)/([A-Za-z0-9\-_%]{3,60})') THEN 'linkedin.com/in/' || regexp_extract(n, '(?i)linkedin\.com/(?:in|pub)/([A-Za-z0-9\-_%]{3,60})', 1)
+            WHEN regexp_matches(n, '(?i)linked[il]n\.com/(?:in|pub)/([A-Za-z0-9\-_%]{3,60})') THEN 'linkedin.com/in/' || regexp_extract(n, '(?i)linked[il]n\.com/(?:in|pub)/([A-Za-z0-9\-_%]{3,60})', 1) ELSE '' END AS linkedin,
+            CASE WHEN regexp_matches(n, '(?i)github\.com/([A-Za-z0-9\-_.]{2,60})') THEN 'github.com/' || regexp_extract(n, '(?i)github\.com/([A-Za-z0-9\-_.]{2,60})', 1)
+            WHEN regexp_matches(n, '(?i)g[il]thub\.com/([A-Za-z0-9\-_.]{2,60})') THEN 'github.com/' || regexp_extract(n, '(?i)g[il]thub\.com/([A-Za-z0-9\-_.]{2,60})', 1) ELSE '' END AS github FROM norm
+    )
+"""
+#: Every contact field and warning of ``src``.
+CONTACT = f"""{MAIL}, {CALL}, {WHO}, {LINKS}, contact AS (
+        SELECT mail.id, name, email, placeholder AS email_is_placeholder, phone, linkedin, github, location, array_to_string(list_filter([CASE WHEN source <> 'header' THEN 'name-from-' || source WHEN NOT known THEN 'name-low-confidence' END,
+            CASE WHEN email = '' THEN 'no-email-found' END, CASE WHEN phone = '' THEN 'no-phone-found' END, CASE WHEN placeholder THEN 'placeholder-email' END], lambda x: x IS NOT NULL), '; ') AS warnings
+        FROM mail JOIN call USING (id) JOIN who USING (id) JOIN site USING (id) JOIN spot USING (id)
+    )
+"""
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{_MAIL}'), ';') AS found FROM documents WHERE regexp_matches(text, '{_MAIL}')")
@@ -467,7 +583,7 @@ def phone_candidates(spark, sf_dir):
     return found.select("doc_id", "c.raw", F.length(F.regexp_replace("c.raw", r"\D", "")).alias("digits"))
 
 
-@query()
+@query(f"WITH src AS (SELECT doc_id AS id, text FROM documents), {MAIL}, {CALL} SELECT id AS doc_id, phone FROM call WHERE phone <> ''")
 def phones(spark, sf_dir):
     found = docs(spark, sf_dir).withColumn("n", text.normalised(F.col("text"))).withColumn("mail", contacts.email(F.col("n")))
     return found.withColumn("phone", contacts.phone(F.col("n"), F.col("mail.email"))).where("phone != ''").select("doc_id", "phone")
@@ -492,19 +608,17 @@ def social_handles(spark, sf_dir):
     return profiles(spark, sf_dir).select("id", contacts.linkedin(F.col("text")).alias("linkedin"), contacts.github(F.col("text")).alias("github"))
 
 
-@query(f"WITH {PROFILES} SELECT id, CASE id % 4 WHEN 0 THEN 'Dallas, TX' WHEN 1 THEN 'Staten Island, NY 10301' WHEN 2 THEN 'Pune, MH 411001' ELSE '' END AS location FROM profile")
+@query(f"WITH {PROFILES}, src AS (SELECT id, text FROM profile), {MAIL}, {WHO} SELECT id, location FROM spot")
 def locations(spark, sf_dir):
     return profiles(spark, sf_dir).select("id", contacts.location(contacts.header_lines(text.normalised(F.col("text")))).alias("location"))
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'Jordan Smith' WHEN 1 THEN 'Robert Smith' WHEN 3 THEN 'Karen Brown' ELSE CASE WHEN c_custkey % 4 = 3 THEN 'other' ELSE 'other' END END AS name FROM customer")
+@query(f"WITH {PROFILES}, src AS (SELECT id, text FROM profile), {MAIL}, {WHO} SELECT id, name, source, known FROM who")
 def names(spark, sf_dir):
-    """Names that the rules find in the three kinds of profile that have one."""
-    found = profiles(spark, sf_dir).withColumn("who", contacts.name(contacts.header_lines(text.normalised(F.col("text"))), F.lit("")))
-    return found.select("id", F.when((F.col("id") % 5).isin(0, 1, 3), F.col("who.name")).otherwise("other").alias("name"))
+    return profiles(spark, sf_dir).select("id", contacts.name(contacts.header_lines(text.normalised(F.col("text"))), F.lit("")).alias("who")).select("id", "who.*")
 
 
-@query()
+@query(f"WITH {PROFILES}, src AS (SELECT id, text FROM profile), {CONTACT} SELECT * FROM contact")
 def contact_fields(spark, sf_dir):
     found = contacts.with_contacts(profiles(spark, sf_dir))
     return found.select("id", "contact.*", F.array_join("contact_warnings", "; ").alias("warnings"))
@@ -546,7 +660,10 @@ def years_of_experience(spark, sf_dir):
     return found.select("id", timeline.years(timeline.work_text(F.col("text"), F.col("sections")), CFG.as_of_year).alias("years"))
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'Bachelors' WHEN 1 THEN 'Masters' WHEN 2 THEN 'PhD' WHEN 3 THEN 'Bachelors' ELSE 'Unknown' END AS level FROM customer")
+_LEVEL = "CASE " + " ".join(f"WHEN regexp_matches(text, {_quoted(p)}) THEN {_quoted(n)}" for n, p in timeline.DEGREES) + " " + " ".join(f"WHEN contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), {_quoted(x)}) THEN {_quoted(n)}" for n, parts in timeline.GLUED_DEGREES for x in parts) + " ELSE 'Unknown' END"
+
+
+@query(f"WITH {PROFILES} SELECT id, {_LEVEL} AS level FROM profile")
 def education_level(spark, sf_dir):
     return profiles(spark, sf_dir).select("id", timeline.education_level(F.col("text")).alias("level"))
 
@@ -628,15 +745,21 @@ def score_rollup(spark, sf_dir):
 @query("SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_keys, array_to_string(list_sort(json_keys(props)), ';') AS keys FROM events")
 def json_props(spark, sf_dir):
     keys = F.json_object_keys(jsonfix.json_text(F.col("props")))
-    return table(spark, sf_dir, "events").select("event_id", F.size(keys).alias("n_keys"), F.array_join(F.sort_array(keys), ";").alias("keys"))
+    return events(spark, sf_dir, "props").select("event_id", F.size(keys).alias("n_keys"), F.array_join(F.sort_array(keys), ";").alias("keys"))
 
 
-@query("SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_keys, true AS fixed FROM events")
+@query("""
+    SELECT event_id, array_to_string(list_transform(list_sort(json_keys(props)), lambda k: k || '=' || coalesce(json_extract_string(props, '$."' || k || '"'), '')), ';') AS pairs,
+        CASE WHEN event_id % 7 = 6 THEN 'broken' ELSE 'fixed' END AS state FROM events WHERE event_id % 7 <> 6
+    UNION ALL SELECT event_id, '', 'broken' FROM events WHERE event_id % 7 = 6
+""")
 def repair_json(spark, sf_dir):
-    """Replies damaged in all the ways that are repaired: fences, prose, trailing commas, constants, comments, curly quotes."""
+    """Replies damaged in all the ways that are repaired: fences, prose, trailing commas, constants, comments, curly quotes; every seventh is cut short, past repair."""
     broken = F.concat(F.lit("Sure! ```json\n"), F.regexp_replace(F.regexp_replace("props", r"\}\s*$", " // done\n,}"), "^\\{\"", "{\u201c"), F.lit("\n``` bye"))
-    text_ = jsonfix.json_text(broken)
-    return table(spark, sf_dir, "events").select("event_id", F.size(F.json_object_keys(text_)).alias("n_keys"), text_.isNotNull().alias("fixed"))
+    broken = F.when(F.col("event_id") % 7 == 6, F.regexp_replace(broken, r"\}", "")).otherwise(broken)
+    found = events(spark, sf_dir, "props").select("event_id", F.from_json(jsonfix.json_text(broken), "map<string,string>").alias("m"))
+    pairs = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.concat(k, F.lit("="), F.coalesce(F.element_at("m", k), F.lit(""))))
+    return found.select("event_id", F.coalesce(F.array_join(pairs, ";"), F.lit("")).alias("pairs"), F.when(F.col("m").isNull(), "broken").otherwise("fixed").alias("state"))
 
 
 @query("""
@@ -647,7 +770,7 @@ def parse_judge(spark, sf_dir):
     k, n = F.col("event_id") % 5, (F.col("event_id") % 90).cast("string")
     score = F.when(k == 0, F.lit("120")).when(k == 1, n).when(k == 2, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(F.lit('"82.5"'))
     reply = F.when(k == 4, F.lit("[1, 2]")).otherwise(F.concat(F.lit('{"score": '), score, F.lit(', "confidence": 2, "strengths": ["a", " ", "b"],}')))
-    found = table(spark, sf_dir, "events").select("event_id", jsonfix.judged(reply).alias("j"))
+    found = events(spark, sf_dir).select("event_id", jsonfix.judged(reply).alias("j"))
     return found.select("event_id", "j.score", "j.error", F.size("j.strengths").alias("strengths"))
 
 
