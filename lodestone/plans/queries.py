@@ -253,7 +253,7 @@ def missing_skills(spark, sf_dir):
 #: place: where the best alias of each skill first stands, and what stands around it. Short aliases are found with a character on
 #: either side, which is taken off again.
 PLACE = r"""
-    spot AS (
+    found_at AS (
         SELECT best.*, doc.text AS body, regexp_extract(doc.text, CASE WHEN is_short THEN pattern ELSE '(?i)()' || array_to_string(string_split(alias_sq, ''), '[^A-Za-z0-9]*') || '()()' END) AS m,
             CASE WHEN is_short THEN regexp_extract(doc.text, pattern, 1) ELSE '' END AS lead, CASE WHEN is_short THEN regexp_extract(doc.text, pattern, 3) ELSE '' END AS trail
         FROM best JOIN doc USING (doc_id)
@@ -261,7 +261,7 @@ PLACE = r"""
     core AS (
         SELECT *, length(m) - length(lead) - length(trail) AS n,
             CASE WHEN is_short AND trail = '' THEN length(body) - length(m) ELSE strpos(body, m) - 1 END + length(lead) AS s
-        FROM spot
+        FROM found_at
     ),
     place AS (
         SELECT doc_id, category_pos, category, skill, CASE WHEN s > 45 THEN '…' ELSE '' END || trim(regexp_replace(substr(body, greatest(0, s - 45) + 1, least(length(body), s + n + 45) - greatest(0, s - 45)), '\s+', ' ', 'g'))
@@ -276,14 +276,16 @@ def evidence_snippets(spark, sf_dir):
     return matching.best_hits(docs(spark, sf_dir), RUBRIC, evidence=True).select("doc_id", "category", "skill", "evidence")
 
 
-@query(f"""
-    WITH {MATCH}, {PLACE}, line AS (
+#: line: proof of each document, in order, at most three of a category.
+LINE = f"""{PLACE}, own_line AS (
         SELECT place.doc_id, place.category_pos, skill, round(points, 3) AS points, place.category || ': ' || skill || ' — “' || evidence || '”' AS line,
             row_number() OVER (PARTITION BY place.doc_id, place.category_pos ORDER BY skill) AS own
         FROM place JOIN cat ON cat.doc_id = place.doc_id AND cat.category_pos = place.category_pos
-    ), kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, category_pos, skill) AS rn FROM line WHERE own <= 3)
-    SELECT doc_id, string_agg(line, ' | ' ORDER BY rn) AS evidence FROM kept WHERE rn <= 8 GROUP BY doc_id
-""")
+    ), line AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, category_pos, skill) AS rn FROM own_line WHERE own <= 3)
+"""
+
+
+@query(f"WITH {MATCH}, {LINE} SELECT doc_id, string_agg(line, ' | ' ORDER BY rn) AS evidence FROM line WHERE rn <= 8 GROUP BY doc_id")
 def evidence_lines(spark, sf_dir):
     return matching.evidence_lines(docs(spark, sf_dir), RUBRIC).select("doc_id", F.array_join("evidence", " | ").alias("evidence"))
 
@@ -783,15 +785,50 @@ def judged_ranking(spark, sf_dir):
     return found.select("rank", "doc_id", "final_score", "keyword_score", "judge_score", "recommendation", "blend", "parse_status", F.array_join("warnings", "; ").alias("warnings"), "reasoning", F.array_join("evidence", " | ").alias("evidence"))
 
 
-@query()
+_YEARS = ORACLES["years_of_experience"].split(", s AS (", 1)[1].rsplit("SELECT profile.id", 1)
+_NAMES = "coalesce(string_agg({0}, ', ' ORDER BY category_pos) FILTER (WHERE must_have AND n {1} 0), '')"
+#: table: every profile with all that the ranking says of it, ranked without a judge.
+RANKING = rf"""{PROFILES}, src AS (SELECT id, text FROM profile), documents AS (SELECT id AS doc_id, text FROM profile), {MATCH}, {LINE}, {CONTACT}, s AS ({_YEARS[0].rstrip()},
+    year AS (SELECT profile.id{_YEARS[1]}),
+    study AS (SELECT id, {_LEVEL} AS level, list_filter([{_FIELDS}], lambda x: x IS NOT NULL) AS f FROM profile),
+    must AS (SELECT doc_id AS id, {_NAMES.format('category', '>')} AS met, {_NAMES.format('category', '=')} AS lacks FROM cat GROUP BY doc_id),
+    skill(category_pos, category, skill) AS (VALUES {_SKILLS}),
+    has AS (
+        SELECT doc.doc_id AS id, coalesce(string_agg(DISTINCT CASE WHEN best.skill IS NOT NULL THEN s.skill END, '; ' ORDER BY CASE WHEN best.skill IS NOT NULL THEN s.skill END), '') AS matched,
+            coalesce(string_agg(DISTINCT CASE WHEN best.skill IS NULL THEN s.skill END, '; ' ORDER BY CASE WHEN best.skill IS NULL THEN s.skill END), '') AS lacking
+        FROM doc CROSS JOIN skill s LEFT JOIN best ON best.doc_id = doc.doc_id AND best.category_pos = s.category_pos AND best.skill = s.skill GROUP BY doc.doc_id
+    ),
+    proof AS (SELECT doc_id AS id, string_agg(line, ' | ' ORDER BY rn) AS evidence FROM line WHERE rn <= 6 GROUP BY doc_id),
+    sum AS (
+        SELECT contact.* REPLACE (CASE WHEN contains(warnings, 'name-from-none') THEN CAST(id AS VARCHAR) ELSE name END AS name, replace(warnings, 'name-from-none', 'name-from-filename') AS warnings), years, level, f, met, lacks, matched, lacking, coalesce(evidence, '') AS evidence, score.missing, least(years, 8) * 1.2 AS bonus, level <> 'Unknown' AND NOT (list_contains(f, 'Finance') OR list_contains(f, 'Economics')) AS astray, score.base,
+            min(contact.id) OVER (PARTITION BY sha1(profile.text)) AS first
+        FROM contact JOIN year USING (id) JOIN study USING (id) JOIN must USING (id) JOIN has USING (id) JOIN score ON score.doc_id = contact.id JOIN profile USING (id) LEFT JOIN proof USING (id)
+    ),
+    exact AS (SELECT *, greatest(0, least(100, round(base, 2) * 1.7 + bonus - (missing * 6 + CASE WHEN astray THEN 5 ELSE 0 END))) AS keyword FROM sum),
+    told AS (
+        SELECT *, round(keyword, 2) AS score, array_to_string(list_filter([CASE WHEN warnings <> '' THEN warnings END, CASE WHEN email_is_placeholder THEN 'placeholder-email(template)' END, CASE WHEN first < id THEN 'duplicate-of:' || first END], lambda x: x IS NOT NULL), '; ') AS all_warnings,
+            array_to_string(list_filter([CASE WHEN met <> '' THEN 'Meets: ' || met END, CASE WHEN lacks <> '' THEN 'Missing: ' || lacks END, CASE WHEN bonus > 0 THEN printf('+%.1f for %sy experience', CAST(bonus AS DOUBLE), regexp_replace(printf('%.1f', CAST(years AS DOUBLE)), '\.0$', '')) END,
+                CASE WHEN missing > 0 THEN printf('-%.1f missing must-have: %s', CAST(missing * 6 AS DOUBLE), lacks) END, CASE WHEN astray THEN '-5.0 degree field outside target list' END], lambda x: x IS NOT NULL), ' | ') AS reasoning FROM exact
+    ),
+    ranking AS (SELECT *, row_number() OVER (ORDER BY score DESC, CAST(id AS VARCHAR), id) AS rank, {TIER} AS tier FROM told)
+"""
+
+
+@query(f"WITH {RANKING} SELECT rank, id AS doc_id, name, email, phone, location, score AS final_score, score AS keyword_score, CAST(years AS DOUBLE) AS years_experience, level AS education_level, all_warnings AS warnings FROM ranking")
 def keyword_ranking(spark, sf_dir):
     """The same without a judge, over profiles."""
     found = ranker.rank(profiles(spark, sf_dir).withColumnRenamed("id", "doc_id"), RUBRIC, cfg=CFG)
     return found.select("rank", "doc_id", "name", "email", "phone", "location", "final_score", "keyword_score", "years_experience", "education_level", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query()
+@query(f"""
+    WITH {RANKING} SELECT CAST(rank AS VARCHAR) AS "Rank", CAST(id AS VARCHAR) AS "File", name AS "Candidate", email AS "Email", phone AS "Phone", linkedin AS "LinkedIn", github AS "GitHub", location AS "Location", printf('%.2f', score) AS "Final Score",
+        printf('%.2f', score) AS "Keyword Score", '' AS "LLM Score", tier AS "Recommendation", CAST(CAST(years AS DOUBLE) AS VARCHAR) AS "Years Exp", level AS "Education", array_to_string(f[1:4], '; ') AS "Fields", '' AS "Seniority", replace(met, ', ', '; ') AS "Must-Have Met",
+        replace(lacks, ', ', '; ') AS "Must-Have Missing", matched AS "Top Matched Skills", lacking AS "Missing Skills", NULL AS "LLM Strengths", NULL AS "LLM Gaps", reasoning AS "Reasoning", evidence AS "Keyword Evidence", 'no' AS "OCR Used", 'ok' AS "Parse Status", all_warnings AS "Warnings"
+    FROM ranking
+""")
 def report_rows(spark, sf_dir):
+    """The ranked table as its sinks write it."""
     from ..sources import report
 
     return report.rows(ranker.rank(profiles(spark, sf_dir).withColumnRenamed("id", "doc_id"), RUBRIC, cfg=CFG))
