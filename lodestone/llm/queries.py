@@ -111,11 +111,5 @@ ORACLES = {
 }
 
 
-def queries():
-    import corpus_pipeline
-
-    return QUERIES | {"pipeline": corpus_pipeline.run}
-
-
 def oracle_sql():
     return dict(ORACLES)

@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import __spark_entry__
 import corpus_pipeline
 import numpy as np
 from test_neardup import groups
@@ -14,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_queries_are_named_by_operator(spark):
-    names = list(queries.queries())
+    names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
 
