@@ -52,7 +52,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    # Spark makes Arrow batches by rows alone, and long texts would make them large; a smaller setting of the caller's stays
+    # a batch may have 64 MB otherwise, several of which a worker would hold; a smaller setting of the caller's stays
     rows = spark.conf.get(BATCH_ROWS, None)
     try:
         if rows is None or int(rows) > ROWS:
