@@ -12,6 +12,7 @@ Texts with the same set are one class. Candidates come from two sides, and all a
 Classes of a shingle are first compared with their neighbour in size and with the smallest only, which joins, together with the
 Golay links, large groups of near copies by a few links a member; what is not in one component then is compared pair by pair, in the
 task that has the shingle: a bitmap of each set bounds what two have in common, and only pairs that this leaves are given out.
+Maps that grow with the sets rule out most of these before whole sets are moved.
 
 Words are lower-cased (ASCII). Fewer than five words: the whole sequence is the shingle. Null, empty: one class of its own.
 """
@@ -31,8 +32,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLE, FREQUENT = 8000, 1 << 16
 #: Bits of the map of texts to be compared.
 SLOTS = 1 << 24
-#: Bits of the map of a set.
-BITS = 1024
+#: Bits of the map of a set that its rows carry, and the least and most of the map that grows with it.
+BITS, LEAST_BITS, MOST_BITS = 2048, 256, 1 << 16
+#: Places for pairs that a task has given out.
+SEEN = 1 << 20
 _U = np.uint64
 _EPS = 1e-9
 
@@ -78,6 +81,30 @@ def bitmaps(row: np.ndarray, grams: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
+def wide_maps(grams: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Of each row's set a map of four bits for a hash, a power of two within the bounds."""
+    out, at = [], 0
+    for n in size.tolist():
+        bits = np.zeros(min(MOST_BITS, max(LEAST_BITS, 1 << (4 * n - 1).bit_length())) if n else LEAST_BITS, bool)
+        bits[(grams[at : at + n] & _U(len(bits) - 1)).astype(np.int64)] = True
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+        at += n
+    return out
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A map in fewer words: what a smaller map of the same set would be."""
+    return np.bitwise_or.reduce(x.reshape(-1, words), axis=0)
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int, similarity: float) -> bool:
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    words = min(len(x), len(y))
+    x, y = _folded(x, words), _folded(y, words)
+    most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return most * (1 + similarity) >= similarity * (n + m) * (1 - _EPS)
+
+
 def most_common(n: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """How many hashes two sets can share at most: what one map has beyond the other stands for as many hashes or more."""
     out = np.empty(len(i), np.int64)
@@ -121,7 +148,7 @@ def _shingle_kernel(shingle: int, similarity: float, frequent: np.ndarray):
             size = np.bincount(row, minlength=batch.num_rows)
             sums = np.zeros(batch.num_rows, _U)
             np.add.at(sums, row, base.mix(grams))
-            fp, bits = fingerprints(grams, size), bitmaps(row, grams, batch.num_rows)
+            fp, bits, wide = fingerprints(grams, size), bitmaps(row, grams, batch.num_rows), wide_maps(grams, size)
             late = np.zeros(len(grams), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
@@ -129,7 +156,7 @@ def _shingle_kernel(shingle: int, similarity: float, frequent: np.ndarray):
             grams = grams[np.lexsort((grams, late, row))]
             keep, begin = prefix_length(size, similarity), np.cumsum(size) - size
             firsts = [grams[b : b + k].tobytes() for b, k in zip(begin.tolist(), keep.tolist(), strict=True)]
-            yield _batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "cls": base.mix(sums + size.astype(_U)).view(np.int64), "n": size, "fp": fp.view(np.int64), "bits": pa.array([b.tobytes() for b in bits], pa.binary()), "firsts": pa.array(firsts, pa.binary())})
+            yield _batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "cls": base.mix(sums + size.astype(_U)).view(np.int64), "n": size, "fp": fp.view(np.int64), "bits": pa.array([b.tobytes() for b in bits], pa.binary()), "wide": pa.array(wide, pa.binary()), "firsts": pa.array(firsts, pa.binary())})
 
     return kernel
 
@@ -183,6 +210,16 @@ def _pairs(cls, i, j):
     return _batch({"a": a[new], "b": b[new]})
 
 
+def _news(pairs: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
+    """Pairs that the task hasn't given out, as far as its table of bounded size remembers."""
+    a, b = (pairs.column(c).to_numpy().view(_U) for c in "ab")
+    name = base.mix(base.mix(a) + b) | _U(1)
+    slot = (name >> _U(64 - SEEN.bit_length() + 1)).astype(np.int64)
+    new = seen[slot] != name
+    seen[slot] = name
+    return pairs.filter(pa.array(new))
+
+
 def _few_kernel(similarity):
     def kernel(batches):
         for key, cls, n, pos in _groups(batches, ("key", "cls", "n", "pos")):
@@ -199,6 +236,7 @@ def _few_kernel(similarity):
 
 def _rest_kernel(similarity):
     def kernel(batches):
+        seen = np.zeros(SEEN, _U)
         for key, cls, n, pos, root, bits in _groups(batches, ("key", "cls", "n", "pos", "root", "bits")):
             i, lag = np.arange(len(key)), 1
             while True:
@@ -210,13 +248,25 @@ def _rest_kernel(similarity):
                 j = i + lag
                 ok = (root[i] != root[j]) & _possible(n, pos, i, j, similarity)
                 ok[ok] = most_common(n, bits, i[ok], j[ok]) * (1 + similarity) >= similarity * (n[i[ok]] + n[j[ok]]) * (1 - _EPS)
-                if ok.any():
-                    yield _pairs(cls, i[ok], j[ok])
+                if ok.any() and (news := _news(_pairs(cls, i[ok], j[ok]), seen)).num_rows:
+                    yield news
                 lag += 1
 
     return kernel
 
 
+def _possible_pairs(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs that their maps don't rule out."""
+
+    def kernel(batches):
+        for batch in batches:
+            ok = [may_be_similar(*x, similarity) for x in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(maps.select(F.col("cls").alias("a"), F.col("wide").alias("x"), "n"), "a").join(maps.select(F.col("cls").alias("b"), F.col("wide").alias("y"), F.col("n").alias("m")), "b")
+    return base.written(base.mapped(both.select("a", "b", "x", "y", "n", "m"), kernel, "a long, b long"), "pairs")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs of classes that are as similar as wanted."""
 
@@ -269,9 +319,9 @@ def _golay_pairs(classes: DataFrame) -> DataFrame:
 def roots(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, h, root) of every row: the component it is in; h is a hash of its text."""
     rows = base.columns_only(docs, {"doc_id": "long", "text": "string"}).withColumn("h", F.xxhash64("text"))
-    schema = "doc_id long, h long, cls long, n long, fp long, bits binary, firsts binary"
+    schema = "doc_id long, h long, cls long, n long, fp long, bits binary, wide binary, firsts binary"
     marks = base.written(base.mapped(rows, _shingle_kernel(shingle, similarity, _frequent(rows, shingle)), schema), "shingles")
-    first = marks.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("firsts").alias("firsts"))
+    first = marks.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("firsts").alias("firsts"))
     full = base.written(first, "classes")
     golay = base.written(_golay_pairs(full), "golay")
     keyed = "key long, cls long, n long, pos long"
@@ -280,20 +330,20 @@ def roots(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
         return base.mapped(table.repartition("key").sortWithinPartitions("key", "n", "cls"), kernel, out)
 
     shared = base.written(dealt(base.mapped(full.select("cls", "n", "firsts"), _spread, keyed), _shared, keyed), "shared")
-    maps = base.written(full.select("cls", "bits"), "maps")
+    maps = base.written(full.select("cls", "n", "bits", "wide"), "maps")
     heavy, marks = marks, base.written(marks.select("doc_id", "h", "cls"), "marks")
     for table in (heavy, full):
         base.dropped(docs.sparkSession, table)
     classes = marks.groupBy("cls").agg(F.min("h").alias("h"))
     few = base.written(dealt(shared, _few_kernel(similarity), "a long, b long").unionByName(golay).distinct(), "pairs")
-    linked = _verified(few, rows, classes, shingle, similarity)
+    linked = _verified(_possible_pairs(few, maps, similarity), rows, classes, shingle, similarity)
     known = base.written(components(linked), "known")
     named = shared.join(known, shared.cls == known.node, "left").select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("root"))
     named = base.written(named, "named")
     apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    named = named.join(base.written(apart, "apart"), "key").join(maps, "cls")
+    named = named.join(base.written(apart, "apart"), "key").join(maps.select("cls", "bits"), "cls")
     rest = dealt(named, _rest_kernel(similarity), "a long, b long").distinct().join(few, ["a", "b"], "left_anti")
-    linked = linked.unionByName(_verified(base.written(rest, "pairs"), rows, classes, shingle, similarity))
+    linked = linked.unionByName(_verified(_possible_pairs(base.written(rest, "pairs"), maps, similarity), rows, classes, shingle, similarity))
     known = base.written(components(linked), "known")
     return marks.select("doc_id", "h", "cls").join(known, F.col("cls") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "cls").alias("root"))
 

@@ -79,6 +79,13 @@ def test_maps_bound_what_sets_share():
     n = np.array([len(x) for x in sets])
     common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
     assert (neardup.most_common(n, bits, i, j) >= common).all()
+    wide = neardup.wide_maps(np.concatenate(hashes), n)
+    assert {len(w) for w in wide} > {32} and neardup.wide_maps(np.zeros(0, np.uint64), np.array([0])) == [bytes(32)]
+    for s in (0.05, 0.1, 0.2, 0.3):
+        for a, b, both in zip(i.tolist(), j.tolist(), common.tolist(), strict=True):
+            assert both < s * (n[a] + n[b] - both) or neardup.may_be_similar(wide[a], wide[b], int(n[a]), int(n[b]), s)
+    unlike = [neardup.may_be_similar(wide[a], wide[b], int(n[a]), int(n[b]), 0.8) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert sum(unlike) < 0.05 * len(unlike)
 
 
 def test_fingerprints_equal_brute_force():
