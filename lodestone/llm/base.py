@@ -5,7 +5,6 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which is what ``b
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,59 +14,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import importable
+from ..session import BATCH_ROWS, ROWS, folder, importable, scratch, shared_dir, written
+
+__all__ = ["BATCH_ROWS", "ROWS", "scratch", "shared_dir", "written"]
 
 #: Bytes of text that a kernel works on at a time, so that its arrays stay small whatever a batch holds.
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch between Spark and a kernel while a scratch table is written.
-BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 _U = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local master may do without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
-
-
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(path)
-    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path for a table in the shared folder. All of an application's are deleted when its driver ends."""
-    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    path, files = _folder(spark, top)
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    # a batch may have 64 MB otherwise, several of which a worker would hold; a smaller setting of the caller's stays
-    rows = spark.conf.get(BATCH_ROWS, None)
-    try:
-        if rows is None or int(rows) > ROWS:
-            spark.conf.set(BATCH_ROWS, str(ROWS))
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.unset(BATCH_ROWS) if rows is None else spark.conf.set(BATCH_ROWS, rows)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
 def dropped(spark: SparkSession, table: DataFrame) -> None:
     """Deletes a scratch table that nothing reads any more, and lets Spark clear the shuffles behind it."""
-    path, files = _folder(spark, table._scratch)
+    path, files = folder(spark, table._scratch)
     files.delete(path, True)
     spark.sparkContext._jvm.System.gc()
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Rows numbered 1 to n in a total order, without bringing them into one partition.
 
-    Rows are dealt by ranges of the order and sorted; numbers within a range are added to the sizes of the ranges before it,
-    which is one number per partition. Counting and numbering read one exchange, of a set number of partitions, which
-    adaptive execution doesn't merge.
+    Rows are dealt by ranges of the order, sorted and written with their places; numbers within a range are added to the sizes of
+    the ranges before it, which is one number per partition. Ranges are drawn from a sample, which differs from one exchange to
+    the next, so places and sizes have to be read from the same table.
     """
-    free = next(c for c in ("part_", "part__", "part___") if c not in df.columns)
+    at, part = (next(c for c in (x, x + "_", x + "__") if c not in df.columns) for x in ("at_", "part_"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt out once before, so that what is costly in ``df`` isn't computed again for sampling and for counting
-    once = df.repartition(n).where(F.spark_partition_id() >= 0)
-    parts = once.repartitionByRange(n, *order).withColumn(free, F.spark_partition_id())
-    sizes = parts.groupBy(free).agg(F.count("*").alias("size"))
-    before = sizes.select(free, F.coalesce(F.sum("size").over(Window.orderBy(free).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    number = F.row_number().over(Window.partitionBy(free).orderBy(*order))
-    return parts.withColumn(name, number).join(F.broadcast(before), free).withColumn(name, (F.col(name) + F.col("before")).cast("long")).drop(free, "before")
+    # dealt out once before, so that what is costly in ``df`` isn't computed again for sampling
+    dealt = df.repartition(n).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the number of the partition above 33 bits, the place in it below
+    placed = written(dealt.withColumn(at, F.monotonically_increasing_id()), "ranked").withColumn(part, F.shiftright(at, 33))
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    sizes = placed.groupBy(part).agg(F.max(place).alias("size"))
+    before = sizes.select(part, F.coalesce(F.sum("size").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(before), part).withColumn(name, place + F.col("before")).drop(at, part, "before")
 
 
 def top(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The whole plan: documents, contacts, rubric, chunks, judge, blend, duplicates and rank, as one lazy DataFrame."""
+"""The whole plan: documents, contacts, rubric, chunks, judge, blend, duplicates and rank; all but the last step, which writes the rows once, is lazy."""
 
 from __future__ import annotations
 

@@ -1,12 +1,16 @@
-"""Local sessions for tests and benches; on a cluster the caller brings its own."""
+"""Local sessions for tests and benches, and scratch tables; on a cluster the caller brings its own session."""
 
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch between Spark and a kernel while a scratch table is written.
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
+
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("lodestone")
@@ -40,3 +44,44 @@ def spread(df: DataFrame, per_core: int = 32 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= cores * per_core else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local master may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
+
+
+def folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a table in the shared folder. All of an application's are deleted when its driver ends."""
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path, files = folder(spark, top)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """The rows as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    # a batch may have 64 MB otherwise, several of which a worker would hold; a smaller setting of the caller's stays
+    rows = spark.conf.get(BATCH_ROWS, None)
+    try:
+        if rows is None or int(rows) > ROWS:
+            spark.conf.set(BATCH_ROWS, str(ROWS))
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(BATCH_ROWS) if rows is None else spark.conf.set(BATCH_ROWS, rows)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out

@@ -160,6 +160,14 @@ def test_rank_is_a_permutation(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_rank_is_that_of_the_rows_whatever_is_read(spark):
+    """Ranges drawn from two samples, one for the numbers and one for the sizes, would leave gaps where one of them reads more columns."""
+    df = spark.range(60000).select("id", F.xxhash64("id").alias("score"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows = ranking.ranked(df, F.desc("score"), F.asc("id")).select("rank", "id", "score", "text").collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 60001))
+    assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] == [r.id for r in sorted(rows, key=lambda r: (-r.score, r.id))]
+
+
 def test_first_seen(spark):
     df = spark.createDataFrame([("a", 1, "f1"), ("a", 2, "f2"), ("", 3, "f3"), ("", 4, "f4"), (None, 5, "f5"), ("a", 6, "f6")], "sha1 string, pos int, file string")
     rows = {r.file: r.duplicate_of for r in ranking.first_seen(df, "sha1", "pos", "file").collect()}
