@@ -11,8 +11,9 @@ Texts with the same set are one class. Candidates come from two sides, and all a
 
 Classes of a shingle are first compared with their neighbour in size and with the smallest only, which joins, together with the
 Golay links, large groups of near copies by a few links a member; what is not in one component then is compared pair by pair, in the
-task that has the shingle: a bitmap of each set bounds what two have in common, and only pairs that this leaves are given out.
-Maps that grow with the sets rule out most of these before whole sets are moved.
+task that has the shingle: a bitmap of each set bounds what two have in common, and of the pairs that this leaves between two
+components a task gives out a few only, since one that holds joins them. Maps that grow with the sets rule out most of these before
+whole sets are moved. Where more were left and none held, the next round gives out eight times as many, until nothing is left.
 
 Words are lower-cased (ASCII). Fewer than five words: the whole sequence is the shingle. Null, empty: one class of its own.
 """
@@ -34,8 +35,10 @@ SAMPLE, FREQUENT = 8000, 1 << 16
 SLOTS = 1 << 24
 #: Bits of the map of a set that its rows carry, and the least and most of the map that grows with it.
 BITS, LEAST_BITS, MOST_BITS = 2048, 256, 1 << 16
-#: Places for pairs that a task has given out.
+#: Places for pairs that a task has given out, and for pairs of components.
 SEEN = 1 << 20
+#: Pairs that a task gives out between two components in the first round, and how many times as many in the next.
+GIVEN, MORE = 1, 8
 _U = np.uint64
 _EPS = 1e-9
 
@@ -210,14 +213,39 @@ def _pairs(cls, i, j):
     return _batch({"a": a[new], "b": b[new]})
 
 
-def _news(pairs: pa.RecordBatch, seen: np.ndarray) -> pa.RecordBatch:
-    """Pairs that the task hasn't given out, as far as its table of bounded size remembers."""
-    a, b = (pairs.column(c).to_numpy().view(_U) for c in "ab")
-    name = base.mix(base.mix(a) + b) | _U(1)
-    slot = (name >> _U(64 - SEEN.bit_length() + 1)).astype(np.int64)
-    new = seen[slot] != name
-    seen[slot] = name
-    return pairs.filter(pa.array(new))
+def _names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A name of each pair, in either order."""
+    return base.mix(base.mix(np.minimum(a, b).view(_U)) + np.maximum(a, b).view(_U)) | _U(1)
+
+
+def _slots(names: np.ndarray) -> np.ndarray:
+    return (names >> _U(64 - SEEN.bit_length() + 1)).astype(np.int64)
+
+
+class _Given:
+    """What a task has given out, as far as tables of bounded size remember: pairs, and how many between two components."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.pairs, self.links, self.counts = np.zeros(SEEN, _U), np.zeros(SEEN, _U), np.zeros(SEEN, np.int64)
+
+    def count(self, link: np.ndarray) -> np.ndarray:
+        slot = _slots(link)
+        return np.where(self.links[slot] == link, self.counts[slot], 0)
+
+    def chosen(self, pair: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the pairs to give out, whether there may be more between their components): one beyond the most tells of more."""
+        at = np.unique(pair, return_index=True)[1]
+        at = at[self.pairs[_slots(pair[at])] != pair[at]]
+        at = at[np.argsort(link[at], kind="stable")]
+        names = link[at]
+        start = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(at)])
+        nth = self.count(names) + base.ranges(np.zeros(len(start), np.int64), np.diff(np.append(start, len(at))))
+        at, names, nth = (x[nth <= self.most] for x in (at, names, nth))
+        self.pairs[_slots(pair[at])] = pair[at]
+        # in order of components and numbers, so the last of each stays
+        self.links[_slots(names)], self.counts[_slots(names)] = names, nth + 1
+        return at, nth == self.most
 
 
 def _few_kernel(similarity):
@@ -234,9 +262,9 @@ def _few_kernel(similarity):
     return kernel
 
 
-def _rest_kernel(similarity):
+def _rest_kernel(similarity, most):
     def kernel(batches):
-        seen = np.zeros(SEEN, _U)
+        given = _Given(most)
         for key, cls, n, pos, root, bits in _groups(batches, ("key", "cls", "n", "pos", "root", "bits")):
             i, lag = np.arange(len(key)), 1
             while True:
@@ -245,11 +273,17 @@ def _rest_kernel(similarity):
                 i = i[(key[i] == key[i + lag]) & (n[i] >= similarity * n[i + lag] * (1 - _EPS))]
                 if not len(i):
                     break
-                j = i + lag
-                ok = (root[i] != root[j]) & _possible(n, pos, i, j, similarity)
-                ok[ok] = most_common(n, bits, i[ok], j[ok]) * (1 + similarity) >= similarity * (n[i[ok]] + n[j[ok]]) * (1 - _EPS)
-                if ok.any() and (news := _news(_pairs(cls, i[ok], j[ok]), seen)).num_rows:
-                    yield news
+                x = i[(root[i] != root[i + lag]) & _possible(n, pos, i, i + lag, similarity)]
+                link = _names(root[x], root[x + lag])
+                wanted = given.count(link) <= most
+                x, link = x[wanted], link[wanted]
+                ok = most_common(n, bits, x, x + lag) * (1 + similarity) >= similarity * (n[x] + n[x + lag]) * (1 - _EPS)
+                x, link = x[ok], link[ok]
+                if len(x):
+                    at, more = given.chosen(_names(cls[x], cls[x + lag]), link)
+                    if len(at):
+                        a, b = cls[x[at]], cls[x[at] + lag]
+                        yield _batch({"a": np.minimum(a, b), "b": np.maximum(a, b), "more": more})
                 lag += 1
 
     return kernel
@@ -338,13 +372,21 @@ def roots(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
     few = base.written(dealt(shared, _few_kernel(similarity), "a long, b long").unionByName(golay).distinct(), "pairs")
     linked = _verified(_possible_pairs(few, maps, similarity), rows, classes, shingle, similarity)
     known = base.written(components(linked), "known")
-    named = shared.join(known, shared.cls == known.node, "left").select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("root"))
-    named = base.written(named, "named")
-    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    named = named.join(base.written(apart, "apart"), "key").join(maps.select("cls", "bits"), "cls")
-    rest = dealt(named, _rest_kernel(similarity), "a long, b long").distinct().join(few, ["a", "b"], "left_anti")
-    linked = linked.unionByName(_verified(_possible_pairs(base.written(rest, "pairs"), maps, similarity), rows, classes, shingle, similarity))
-    known = base.written(components(linked), "known")
+    tried, most, open_roots = few, GIVEN, None
+    while open_roots is None or not open_roots.isEmpty():
+        named = shared.join(known, shared.cls == known.node, "left").select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("root"))
+        named = base.written(named if open_roots is None else named.join(open_roots, "root", "left_semi"), "named")
+        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        named = named.join(base.written(apart, "apart"), "key").join(maps.select("cls", "bits"), "cls").select("key", "cls", "n", "pos", "root", "bits")
+        rest = base.written(dealt(named, _rest_kernel(similarity, most), "a long, b long, more boolean"), "rest")
+        new = base.written(rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        linked = linked.unionByName(_verified(_possible_pairs(new, maps, similarity), rows, classes, shingle, similarity))
+        known = base.written(components(linked), "known")
+        # only between these may there be pairs that weren't given out
+        ends = [known.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab"]
+        left = rest.where("more").select("a", "b").join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("x"), F.coalesce("of_b", "b").alias("y"))
+        open_roots = base.written(left.where("x != y").select(F.explode(F.array("x", "y")).alias("root")).distinct(), "open")
+        tried, most = tried.unionByName(new), most * MORE
     return marks.select("doc_id", "h", "cls").join(known, F.col("cls") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "cls").alias("root"))
 
 

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import base, neardup, queries, simhash
@@ -107,3 +108,35 @@ def test_large_group_of_near_copies(spark):
     want = groups(texts)
     kept = sorted(x.doc_id for x in neardup.representatives(docs).collect())
     assert kept == sorted({g: k for k, g in reversed(list(enumerate(want)))}.values())
+
+
+def test_rounds_give_out_few_pairs_and_lose_none():
+    """Between two components a task gives out one pair and one that tells of more; the rounds after it reach all others."""
+    r = np.random.default_rng(4)
+    n = 60
+    key, cls, root = np.zeros(n, np.int64), np.arange(1, n + 1), np.where(np.arange(n) < n // 2, 1, 2)
+    bits = neardup.bitmaps(np.repeat(np.arange(n), 100), np.tile(base.mix(r.integers(0, 1 << 62, 100).astype(np.uint64)), n), n)
+    batch = pa.RecordBatch.from_pydict({"key": key, "cls": cls, "n": np.full(n, 100), "pos": np.zeros(n, np.int64), "root": root, "bits": [b.tobytes() for b in bits]})
+    across = {(a, b) for a in range(1, 31) for b in range(31, 61)}
+    for most in (1, 8, 64, 4096):
+        out = pa.Table.from_batches(neardup._rest_kernel(0.8, most)(iter([batch]))).to_pydict()
+        pairs = set(zip(out["a"], out["b"], strict=True))
+        assert len(pairs) == len(out["a"]) == min(most + 1, len(across)) and pairs <= across
+        assert sum(out["more"]) == (most < len(across))
+
+
+def test_pairs_that_do_not_hold_hide_none_that_does(spark, monkeypatch):
+    """Two groups that meet in many pairs, of which one alone is similar: the last round finds it."""
+    plain, rounds = neardup._rest_kernel, []
+    monkeypatch.setattr(neardup, "_rest_kernel", lambda similarity, most: rounds.append(most) or plain(similarity, most))
+    # bounds that rule nothing out, so that candidates are of all kinds
+    monkeypatch.setattr(neardup, "most_common", lambda n, bits, i, j: np.minimum(n[i], n[j]))
+    monkeypatch.setattr(neardup, "may_be_similar", lambda *x: True)
+    texts = edited()
+    r = np.random.default_rng(5)
+    center = [f"c{k}" for k in range(80)]
+    texts += [" ".join(f"z{r.integers(0, 10**6)}" if r.random() < share else w for w in center) for share in (0.01, 0.03, 0.05, 0.08) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = groups(texts)
+    kept = sorted(x.doc_id for x in neardup.representatives(docs).collect())
+    assert kept == sorted({g: k for k, g in reversed(list(enumerate(want)))}.values()) and len(rounds) > 1
