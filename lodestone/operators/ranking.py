@@ -37,12 +37,13 @@ def top_of_each(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFra
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def first_seen(df: DataFrame, content: str, position: str, shown: str) -> DataFrame:
+def first_seen(df: DataFrame, content: str, position: str, shown: str, among: DataFrame | None = None) -> DataFrame:
     """``duplicate_of``: for each row but the first with its content what the first one shows; null or empty content is no duplicate.
 
-    Firsts come from a partial aggregate, so a content that many rows share is no burden to one task.
+    Firsts come from a partial aggregate, so a content that many rows share is no burden to one task. ``among``: a table that has
+    the same rows without what ``df`` joined to them, so that it isn't worked out again.
     """
-    firsts = df.where(F.col(content) != "").groupBy(F.col(content).alias("content_")).agg(F.min(F.struct(position, shown)).alias("first_"))
+    firsts = (df if among is None else among).where(F.col(content) != "").groupBy(F.col(content).alias("content_")).agg(F.min(F.struct(position, shown)).alias("first_"))
     out = df.join(firsts, F.col(content) == F.col("content_"), "left")
     later = F.col(position) > F.col(f"first_.{position}")
     return out.withColumn("duplicate_of", F.when(later, F.col(f"first_.{shown}"))).drop("content_", "first_")

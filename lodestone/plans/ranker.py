@@ -1,4 +1,7 @@
-"""The whole plan: documents, contacts, rubric, chunks, judge, blend, duplicates and rank; all but the last step, which writes the rows once, is lazy."""
+"""The whole plan: documents, contacts, rubric, chunks, judge, blend, duplicates and rank.
+
+What is costly is written once and read as often as it is needed: the rows without a judge, its replies, and the order.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from ..functions.text import strip, text_of, word_count
 from ..operators import judge as judges
 from ..operators import matching, ranking, sections
 from ..operators.rubric import Rubric
+from ..session import written
 
 #: Documents come with these; what is absent gets a default.
 DEFAULTS = {"file": ("doc_id", "string"), "path": ("file", "string"), "pages": (None, "int"), "ocr_used": (False, "boolean"), "cached": (False, "boolean"), "error": (None, "string"), "sha1": (None, "string"), "input_pos": ("doc_id", "long")}
@@ -27,10 +31,8 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def status(text: Column, error: Column, judge_error: Column | None = None) -> Column:
-    blank = strip(text_of(text)) == ""
-    first = F.when(blank, "empty").when(error.isNotNull(), "error").otherwise("ok")
-    return first if judge_error is None else F.when(judge_error.isNotNull(), "llm-failed").otherwise(first)
+def status(text: Column, error: Column) -> Column:
+    return F.when(strip(text_of(text)) == "", "empty").when(error.isNotNull(), "error").otherwise("ok")
 
 
 def parsed(docs: DataFrame, rubric: Rubric, cfg: Config = Config(), names: list[str] = contacts.GIVEN_NAMES) -> DataFrame:
@@ -56,7 +58,7 @@ def parsed(docs: DataFrame, rubric: Rubric, cfg: Config = Config(), names: list[
         F.when(~blank & F.col("contact.email_is_placeholder"), F.array(F.lit("placeholder-email(template)"))).otherwise(none),
         F.when(~blank & F.col("truncated"), F.array(F.format_string("long-resume:%dchunks->%dsent", "n_chunks", F.size("chunks")))).otherwise(none),
     )
-    return out.withColumn("warnings", warnings).withColumn("blank", blank).drop("fields", "contact_warnings")
+    return out.withColumn("warnings", warnings).withColumn("blank", blank).withColumn("parse_status", status(F.col("text"), F.col("error"))).drop("fields", "contact_warnings")
 
 
 def blended(out: DataFrame, judged: DataFrame | None, cfg: Config = Config(), key: str = "doc_id") -> DataFrame:
@@ -82,7 +84,7 @@ def blended(out: DataFrame, judged: DataFrame | None, cfg: Config = Config(), ke
     )
     return (
         out.withColumn("warnings", F.concat("warnings", more)).withColumn("reasoning", F.array_join(bits, " | ")).withColumn("final_score", final).withColumn("blend", scoring.blend_name(F.col("keyword_exact"), F.col(j), s))
-        .withColumn("recommendation", scoring.tier(F.col("final_score"), s)).withColumn("parse_status", status(F.col("text"), F.col("error"), F.col("judge.error")))
+        .withColumn("recommendation", scoring.tier(F.col("final_score"), s)).withColumn("parse_status", F.when(F.col("judge.error").isNotNull(), "llm-failed").otherwise(F.col("parse_status")))
         .withColumn("years_experience", scoring.years_or(own, F.col("judge.years_relevant"))).withColumn("judge_score", scoring.rounded(F.col(j)))
         .withColumn("seniority", F.coalesce("judge.seniority", F.lit(""))).withColumn("strengths", F.col("judge.strengths")).withColumn("gaps", F.col("judge.gaps"))
     )
@@ -94,10 +96,17 @@ def rank(docs: DataFrame, rubric: Rubric, role: str = "", cfg: Config = Config()
     ``health`` is asked once before: without a reachable judge documents are ranked by keywords alone, without its model nothing is.
     """
     ask = judges.routed(ask, health)
-    base = parsed(docs, rubric, cfg, names)
-    asked = base.where(~F.col("blank") & F.col("error").isNull()).select(key, "chunks", "matched", "missing")
-    out = blended(base, judges.judge(asked, key, rubric, role, ask, cfg.judge, cfg.chunk.single_pass) if ask else None, cfg, key)
-    out = ranking.first_seen(out, "sha1", "input_pos", "file")
+    # a number of its own tells rows of one key apart; it is that of the written row, so all that reads it agrees
+    row = next(c for c in ("row_", "row__", "row___") if c not in docs.columns)
+    base = written(parsed(docs, rubric, cfg, names).drop("text", "sections").withColumn(row, F.monotonically_increasing_id()), "parsed")
+    judged = None
+    if ask:
+        asked = base.where(~F.col("blank") & F.col("error").isNull()).select(row, "chunks", "matched", "missing")
+        judged = written(judges.judge(asked, row, rubric, role, ask, cfg.judge, cfg.chunk.single_pass), "judged")
+    out = blended(base, judged, cfg, row)
+    order = [F.desc("final_score"), F.desc("keyword_score"), F.asc("file"), F.asc("input_pos")]
+    ranks = ranking.ranked(out.select(row, "final_score", "keyword_score", "file", "input_pos"), *order, F.asc(row)).select(row, "rank")
+    out = ranking.first_seen(out, "sha1", "input_pos", "file", base)
     out = out.withColumn("warnings", F.when(F.col("duplicate_of").isNotNull(), F.array_append("warnings", F.concat(F.lit("duplicate-of:"), "duplicate_of"))).otherwise(F.col("warnings")))
-    out = out.select("*", "contact.*").drop("contact", "judge", "sections", "categories", "blank", "text")
-    return ranking.ranked(out, F.desc("final_score"), F.desc("keyword_score"), F.asc("file"), F.asc("input_pos"))
+    out = out.select("*", "contact.*").drop("contact", "judge", "categories", "blank")
+    return out.join(ranks, row).drop(row)

@@ -39,6 +39,22 @@ def test_reply_fields(spark):
     assert (j.confidence, j.years_relevant, len(j.seniority), j.strengths, j.gaps, j.reasoning, j.recommendation) == (1.0, 2.5, 32, list("abcde"), ["one"], "r", "strong_fit")
 
 
+def test_each_document_is_judged_once(spark, tmp_path):
+    """What needs the replies, the order, the firsts of equal texts and the rows themselves, must not ask again; rows of one id stay apart."""
+    log = str(tmp_path / "calls")
+
+    def ask(prompt, system, context, tokens):
+        with open(log, "a") as file:
+            file.write("x")
+        return judges.stand_in(prompt, system, context, tokens)
+
+    texts = [(1, "alpha tool"), (2, "betagamma"), (2, "alpha tool and betagamma"), (3, ""), (None, "neither of them")]
+    rows = ranker.rank(spark.createDataFrame(texts, "doc_id long, text string"), RUBRIC, "role", Config(), ask).collect()
+    assert sorted(r["rank"] for r in rows) == [1, 2, 3, 4, 5]
+    assert sorted((r.doc_id or 0, r.judge_score is not None) for r in rows) == [(0, True), (1, True), (2, True), (2, True), (3, False)]
+    assert len(open(log).read()) == 4
+
+
 def test_judge_routes_and_retries():
     calls = []
 
