@@ -24,6 +24,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has are cut out; a document with no word left goes."""
+    base.relieved(spark)
     return substring.deduplicated(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 

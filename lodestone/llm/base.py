@@ -14,9 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import BATCH_ROWS, ROWS, folder, importable, scratch, shared_dir, written
+from ..session import BATCH_ROWS, PLAIN, ROWS, folder, importable, scratch, shared_dir, written
 
-__all__ = ["BATCH_ROWS", "ROWS", "scratch", "shared_dir", "written"]
+__all__ = ["BATCH_ROWS", "PLAIN", "ROWS", "scratch", "shared_dir", "written"]
 
 #: Bytes of text that a kernel works on at a time, so that its arrays stay small whatever a batch holds.
 CHUNK_BYTES = 1 << 20
@@ -30,6 +30,12 @@ def dropped(spark: SparkSession, table: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieved(spark: SparkSession) -> None:
+    """Executors collect their garbage, so that heap which a step before needed goes back; it stays theirs otherwise, beside the workers of the next."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").collect()
+
+
 def columns_only(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Just the columns an operator reads, in fixed types; others, however named, don't disturb it."""
     return df.select([F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()])

@@ -368,12 +368,14 @@ def roots(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARIT
     heavy, marks = marks, base.written(marks.select("doc_id", "h", "cls"), "marks")
     for table in (heavy, full):
         base.dropped(docs.sparkSession, table)
+    base.relieved(docs.sparkSession)
     classes = marks.groupBy("cls").agg(F.min("h").alias("h"))
     few = base.written(dealt(shared, _few_kernel(similarity), "a long, b long").unionByName(golay).distinct(), "pairs")
     linked = _verified(_possible_pairs(few, maps, similarity), rows, classes, shingle, similarity)
     known = base.written(components(linked), "known")
     tried, most, open_roots = few, GIVEN, None
     while open_roots is None or not open_roots.isEmpty():
+        base.relieved(docs.sparkSession)
         named = shared.join(known, shared.cls == known.node, "left").select("key", "cls", "n", "pos", F.coalesce("component", "cls").alias("root"))
         named = base.written(named if open_roots is None else named.join(open_roots, "root", "left_semi"), "named")
         apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")

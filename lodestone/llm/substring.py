@@ -155,15 +155,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds=ROUNDS) -> DataFrame:
         base.mapped(marked, _stretch_kernel(window, rounds), "key long, c1 long, c2 long, doc_id long, mark long, start int, n int"), "stretches"
     )
     # what is joined to rows that may hold a hot key is a table, not an aggregate, so that Spark can split the hot partition
-    shared = base.written(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "keys")
+    several = (F.min("c1") < F.max("c1")) | (F.min("c2") < F.max("c2"))
+    shared = base.written(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), several.alias("several")).where("lo < hi").select("key", "several"), "keys")
     near = base.written(found.join(shared, "key"), "shared")
     base.dropped(spark, found)
-    least = near.groupBy("key", "c1", "c2").agg(F.min("doc_id").alias("least"))
-    least = base.written(least, "contents")
-    forms = base.written(least.groupBy("key").agg(F.count("*").alias("forms")), "forms")
-    least = base.written(least.join(forms, "key"), "least")
-    judged = base.written(near.join(least, ["key", "c1", "c2"]).where("doc_id > least or forms > 1").select("doc_id", "mark", "start", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
+    base.relieved(spark)
+    least = base.written(near.groupBy("key", "c1", "c2").agg(F.min("doc_id").alias("least")), "least")
+    judged = base.written(near.join(least, ["key", "c1", "c2"]).where("doc_id > least or several").select("doc_id", "mark", "start", "n", (F.col("doc_id") > F.col("least")).alias("whole")), "judged")
     base.dropped(spark, near)
+    base.relieved(spark)
     parts = judged.where("not whole").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("parts"))
     single = base.written(base.mapped(marked.join(parts.hint("shuffle_hash"), ["doc_id", "mark"]), _window_kernel(window), "w1 long, w2 long, doc_id long, mark long, start int"), "windows")
     first = base.written(single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "first")

@@ -133,12 +133,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, width: int
     rows = base.columns_only(docs, {"doc_id": "long", "text": "string"})
     staged = base.written(base.mapped(rows, _chunk_kernel(tokenizer, end, width), f"{_ROW}, fresh array<struct<digest:binary,data:binary>>"), "streams")
     recipes = staged.drop("fresh").repartitionByRange(F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root", "doc")
-    recipes.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes.withColumn("part", F.spark_partition_id()).write.options(**base.PLAIN).option("compression", "zstd").parquet(f"{path}/recipes")
     # tasks have dealt with their own repeats, so chunks go straight to their place and are sorted there once
     fresh = staged.select(F.explode_outer("fresh").alias("x")).where("x is not null").select("x.*").repartition("digest")
-    fresh.groupBy("digest").agg(F.first("data").alias("data")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    fresh.groupBy("digest").agg(F.first("data").alias("data")).write.options(**base.PLAIN).option("compression", "zstd").parquet(f"{path}/chunks")
     base.dropped(spark, staged)
-    _parts(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    _parts(_recipes(spark, path)).write.options(**base.PLAIN).parquet(f"{path}/manifest")
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:

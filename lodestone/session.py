@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch between Spark and a kernel while a scratch table is written.
 BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
+#: Options of a table's write. Where no native Hadoop library is there, a local folder has permissions set by a process for each file, which
+#: shares the executor's memory until it runs; with checksums of its own beside Parquet's there are four for each. Other folders aren't concerned.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("lodestone")
@@ -79,7 +83,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     try:
         if rows is None or int(rows) > ROWS:
             spark.conf.set(BATCH_ROWS, str(ROWS))
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(**PLAIN).option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(BATCH_ROWS) if rows is None else spark.conf.set(BATCH_ROWS, rows)
     out = spark.read.schema(df.schema).parquet(path)

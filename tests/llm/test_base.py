@@ -96,3 +96,24 @@ def test_settings_of_the_session_stay(spark):
     base.dropped(spark, table)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FAILED_READ_FILE|does not exist"):
         spark.read.parquet(table._scratch).collect()
+
+
+def test_tables_in_a_local_folder_start_few_processes(spark):
+    """Each of a file's own checksums is one more file, with a process that sets its permissions and counts as much memory as the executor."""
+    table = base.written(spark.range(0, 100, 1, 5).toDF("id"), "few")
+    path, files = base.folder(spark, table._scratch)
+    raw = spark.sparkContext._jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+    raw.initialize(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in raw.listStatus(path)]
+    assert table.count() == 100 and sum(n.endswith(".parquet") for n in names) == 5 and not [n for n in names if n.endswith(".crc")]
+    base.dropped(spark, table)
+
+
+def test_repeats_writes_each_table_once(spark, monkeypatch):
+    """Whether a symbol stands in several stretches is known from the first pass over them; it took three more tables and a join."""
+    tables = []
+    monkeypatch.setattr(base, "written", lambda df, name, *a, f=base.written: (tables.append(name), f(df, name, *a))[1])
+    same, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = spark.createDataFrame([(1, same), (2, same), (3, f"{same} {other}"), (4, other)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.digests(rows).collect()} == {1: 0, 2: 60, 3: 60, 4: 60}
+    assert sorted(tables) == ["first", "judged", "keys", "least", "shared", "stretches", "windows"]
