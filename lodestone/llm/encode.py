@@ -5,7 +5,8 @@ For a tokenizer that drops white space and never joins tokens across it, the ids
 their 64-bit hashes, and only words that aren't in the cache go through the library, in one call for all of them. The cache is
 a direct-mapped table: a word takes the place of another with the same low bits. Bytes decide whether words are equal, in a
 slice and in the cache: a slice in which hashes collide is encoded as whole texts. Whether a tokenizer is of this kind is
-read from its file; others encode whole texts.
+read from its file; others encode whole texts. Words of letters a-z and ASCII punctuation alone are as a normaliser would leave them, and
+where they are cut is plain to see, so where the file's splitting is the known one they go straight to its model.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from tokenizers import Tokenizer
 
 from . import base
 
-#: Places for words, and ids and bytes that they may have together, per process.
-SLOTS, POOL = 1 << 21, 1 << 23
+#: Places for words, ids that they may have together, and bytes for each of these, per process: words have more bytes than ids.
+SLOTS, POOL, SPELLED = 1 << 21, 1 << 23, 3
 _LOADED: dict[str, "Encoder"] = {}
 _PUNCTUATION = string.punctuation.encode()
 _KIND = np.full(256, 2, np.int8)  # 0: a letter a-z, 1: ASCII punctuation, 2: anything else
@@ -27,6 +28,13 @@ _KIND[list(string.ascii_lowercase.encode())] = 0
 _KIND[list(_PUNCTUATION)] = 1
 
 
+#: Fixed value: a splitting that cuts words of letters a-z and ASCII punctuation into runs of either, and leaves their bytes as they are.
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 def _by_words(spec: dict) -> bool:
     """White space is squeezed, then dropped by the splitting pattern, letters are lowered, and no normaliser looks further."""
     kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -42,15 +50,17 @@ class Encoder:
         self.by_words = _by_words(spec)
         suffix = (spec["model"].get("end_of_word_suffix") or "") if self.by_words else ""
         self.ends = np.array([bool(suffix) and self.tokenizer.id_to_token(i).endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
+        known = self.by_words and spec["pre_tokenizer"] == _SPLIT and spec.get("post_processor") is None
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}})) if known else None
         self.key, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.pool, self.used = np.zeros(pool, np.uint32), 0
-        self.spelled, self.begin, self.length, self.bytes = np.zeros(pool, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.int32), 0
+        self.spelled, self.begin, self.length, self.bytes = np.zeros(SPELLED * pool, np.uint8), np.zeros(slots, np.int32), np.zeros(slots, np.int32), 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _parts(self, words: list[bytes], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of each word the number of pieces that the tokenizer cuts it into, where that is plain to see, else 0.
+    def _parts(self, words: list[bytes], buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word the number of pieces that the tokenizer cuts it into, where that is plain to see, else 0, and whether it can go to the model.
 
         Letters are a piece, and so is the run of ASCII punctuation behind them or by itself.
         """
@@ -66,29 +76,37 @@ class Encoder:
             core = words[k].rstrip(_PUNCTUATION)
             if core.decode().isalpha():
                 parts[k] = 1 + (len(core) < len(words[k]))
-        return parts
+        return parts, (parts > 0) & ~other & (self.bare is not None)
 
-    def _learned(self, words: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _learned(self, words: list[bytes], parts: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, one after another, and how many each has. A piece ends with its first token that ends a word."""
-        plain = np.flatnonzero(parts)
-        text = b" ".join([words[k] for k in plain.tolist()]).decode()
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if text else np.zeros(0, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != parts.sum():  # not all were letters to the tokenizer, or it doesn't mark the ends of words
-            each = [self._whole(w.decode()) for w in words]
-            return np.concatenate(each), np.array([len(x) for x in each])
-        last = stops[np.cumsum(parts[plain]) - 1] if len(plain) else np.zeros(0, np.int64)
-        sizes = np.zeros(len(words), np.int64)
-        sizes[plain] = np.diff(last, prepend=0)
+
+        def cut(k: int) -> bytes:
+            core = words[k].rstrip(_PUNCTUATION)
+            return core + b" " + words[k][len(core) :]
+
+        sizes, found = np.zeros(len(words), np.int64), []
+        for some, by in ((np.flatnonzero(bare), self.bare), (np.flatnonzero((parts > 0) & ~bare), self.tokenizer)):
+            if not len(some):
+                continue
+            spelled = [cut(k) if n == 2 and by is self.bare else words[k] for k, n in zip(some.tolist(), parts[some].tolist(), strict=True)]
+            ids = np.array(by.encode_batch_fast([b" ".join(spelled).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != parts[some].sum():  # not all were letters to the tokenizer, or it doesn't mark the ends of words
+                each = [self._whole(w.decode()) for w in words]
+                return np.concatenate(each), np.array([len(x) for x in each])
+            sizes[some] = np.diff(stops[np.cumsum(parts[some]) - 1], prepend=0)
+            found.append((some, ids))
         rest = np.flatnonzero(parts == 0)
-        if not len(rest):
-            return ids, sizes
-        each = {k: self._whole(words[k].decode()) for k in rest.tolist()}
-        sizes[rest] = [len(each[k]) for k in rest.tolist()]
+        if len(found) == 1 and not len(rest):
+            return found[0][1], sizes
+        if len(rest):
+            each = [self._whole(words[k].decode()) for k in rest.tolist()]
+            sizes[rest] = [len(x) for x in each]
+            found.append((rest, np.concatenate(each)))
         out, ends = np.zeros(int(sizes.sum()), np.uint32), np.cumsum(sizes)
-        out[base.ranges(ends[plain] - sizes[plain], sizes[plain])] = ids
-        for k, x in each.items():
-            out[ends[k] - len(x) : ends[k]] = x
+        for some, ids in found:
+            out[base.ranges(ends[some] - sizes[some], sizes[some])] = ids
         return out, sizes
 
     def _slice(self, rows: list[bytes | None]) -> list[bytes]:
@@ -117,7 +135,7 @@ class Encoder:
             a, z = a[new], z[new]
             data = memoryview(buf)
             words = [bytes(data[x:y]) for x, y in zip(a.tolist(), z.tolist(), strict=True)]
-            ids, sizes = self._learned(words, self._parts(words, buf, a, z))
+            ids, sizes = self._learned(words, *self._parts(words, buf, a, z))
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(ids) + POOL, np.uint32)))
             self.pool[self.used : self.used + len(ids)] = ids
